@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import functools
 import json
+import re
+from array import array
 from collections.abc import Callable
 
-import regex
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -17,10 +18,9 @@ from tokenizers import Tokenizer
 TABLE = 400_000
 
 
-def _plain(path: str) -> regex.Pattern:
-    """Matches texts that need the library: far code points, or a special token's string."""
-    added = json.load(open(path, encoding="utf-8")).get("added_tokens", [])
-    return regex.compile("|".join([r"[^\x00-ɏ]", *[regex.escape(t["content"], special_only=True) for t in added]]), regex.IGNORECASE)
+def _far() -> re.Pattern:
+    """Matches texts that need the library: code points from U+0250 on, and the four controls whose class differs between libraries."""
+    return re.compile("[^\x00-\x1b\x20-\u024f]")
 
 
 def _bytes_of_chars() -> dict[str, int]:
@@ -33,7 +33,7 @@ def _bytes_of_chars() -> dict[str, int]:
 @functools.lru_cache(maxsize=4)
 def byte_bpe(path: str) -> Callable[[str], list[int]]:
     """Encoder for a byte-level BPE file whose ids are the order of its merges: ranks of tiktoken are then its ids."""
-    spec, odd, library = json.load(open(path, encoding="utf-8")), _plain(path), Tokenizer.from_file(path)
+    spec, odd, library = json.load(open(path, encoding="utf-8")), _far(), Tokenizer.from_file(path)
     byte, special = _bytes_of_chars(), {t["content"] for t in spec.get("added_tokens", [])}
     ranks = {bytes(byte[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
     # Words of the byte-level pre-tokenizer: contractions, letters, numbers, others, white space.
@@ -41,30 +41,41 @@ def byte_bpe(path: str) -> Callable[[str], list[int]]:
     fast = tiktoken.Encoding("byte_bpe", pat_str=words, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
-        return library.encode(text, add_special_tokens=False).ids if odd.search(text) else fast.encode_ordinary(text)
+        if odd.search(text) or any(s in text for s in special):
+            return library.encode(text, add_special_tokens=False).ids
+        return fast.encode_ordinary(text)
 
     return encode
 
 
+class _Words(dict):
+    """Ids of each distinct word, as little-endian 32-bit integers, segmented by the library's model when first met."""
+
+    def __init__(self, library: Tokenizer):
+        super().__init__()
+        self.model, self.chars = library.model, str.maketrans({b: c for c, b in _bytes_of_chars().items()})
+
+    def __missing__(self, word: str) -> bytes:
+        as_chars = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.chars)
+        ids = self[word] = array("I", [t.id for t in self.model.tokenize(as_chars)]).tobytes()
+        return ids
+
+
 @functools.lru_cache(maxsize=4)
 def word_bpe(path: str) -> Callable[[str], bytes]:
-    """Encoder for a BPE file with word ends, giving ids as little-endian 32-bit integers: each distinct word goes through the library once."""
-    odd, library = _plain(path), Tokenizer.from_file(path)
-    words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-    table: dict[str, bytes] = {}
-
-    def as_bytes(ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+    """Encoder for a lower-casing BPE file with word ends, giving ids as little-endian 32-bit integers."""
+    odd, library = _far(), Tokenizer.from_file(path)
+    special = [t["content"].lower() for t in json.load(open(path, encoding="utf-8")).get("added_tokens", [])]
+    # Contractions, runs of letters, single numbers, runs of others; below U+0250 these are the library's words.
+    words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:_|[^\s\w])+")
+    table = _Words(library)
 
     def encode(text: str) -> bytes:
-        if odd.search(text):
-            return as_bytes(library.encode(text, add_special_tokens=False).ids)
+        low = text.lower()
+        if odd.search(text) or any(s in low for s in special):
+            return array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
         if len(table) > TABLE:
             table.clear()
-        found = words.findall(library.normalizer.normalize_str(text))
-        new = [w for w in dict.fromkeys(found) if w not in table]
-        for w, e in zip(new, library.encode_batch(new, add_special_tokens=False), strict=True):
-            table[w] = as_bytes(e.ids)
-        return b"".join(map(table.__getitem__, found))
+        return b"".join(map(table.__getitem__, words.findall(low)))
 
     return encode
