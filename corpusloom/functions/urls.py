@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from urllib.parse import urlsplit
 
 from pyspark.sql import Column
@@ -11,13 +11,25 @@ from pyspark.sql import functions as F
 # Scheme, authority, path, query, fragment; any part may be missing.
 PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 SCHEME, NETLOC, PATH, QUERY, FRAGMENT = range(1, 6)
+LAST_PARAMS = r"(?s)^((?:.*/)?[^/;]*);([^/]*)$"
 # Names that Windows reserves, and characters that it forbids in file names.
 RESERVED = ["CON", "PRN", "AUX", "NUL", *[f"{d}{i}" for d in ("COM", "LPT") for i in range(1, 10)]]
 FORBIDDEN = r'[<>:"/\\|?*\x00-\x1F]'
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def part(url: Column, which: int) -> Column:
-    return F.regexp_extract(url, PARTS, which)
+    """A part of the URL; the path comes without the parameters (;...) of its last segment."""
+    found = F.regexp_extract(url, PARTS, which)
+    return F.regexp_replace(found, LAST_PARAMS, "$1") if which == PATH else found
+
+
+def params(url: Column) -> Column:
+    return F.regexp_extract(F.regexp_extract(url, PARTS, PATH), LAST_PARAMS, 2)
 
 
 def url_split(url: Column) -> Column:
@@ -61,7 +73,7 @@ def normalize_url(url: Column, ignore: Sequence[str] = (), ignore_prefixes: Sequ
     netloc = F.when(scheme == "http", F.regexp_replace(netloc, ":80$", "")).when(scheme == "https", F.regexp_replace(netloc, ":443$", "")).otherwise(netloc)
     path = F.when(path.isin("", "/"), "/").otherwise(F.regexp_replace(path, "/+$", ""))
     query = canonical_query(part(url, QUERY), ignore, ignore_prefixes)
-    return F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), F.when((netloc != "") | part(url, 0).contains("://"), F.concat(F.lit("//"), netloc)).otherwise(""), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), F.when((netloc != "") | part(url, 0).contains("://"), F.concat(F.lit("//"), netloc)).otherwise(""), path, F.when(params(url) != "", F.concat(F.lit(";"), params(url))).otherwise(""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
 def extension(url: Column) -> Column:
@@ -101,7 +113,7 @@ def candidate_bases(base_url: str) -> list[str]:
     """Origin and up to two leading path segments, the most specific first."""
     split = urlsplit(base_url)
     segments = [s for s in split.path.split("/") if s]
-    return ["/".join([f"{split.scheme}://{split.netloc}", *segments[:n]]) for n in range(min(2, len(segments)), -1, -1)]
+    return ["/".join([f"{split.scheme.lower()}://{split.netloc.lower()}", *segments[:n]]) for n in range(min(2, len(segments)), -1, -1)]
 
 
 # -- Output paths ------------------------------------------------------------------------------------------------------------------
@@ -118,12 +130,11 @@ def query_suffix(url: Column, ignore: Sequence[str] = (), ignore_prefixes: Seque
 
 def sanitize_segment(segment: Column) -> Column:
     """A path segment as a file name: percent-decoded, trimmed, without forbidden characters or reserved names, at most 89 characters."""
-    plain = F.coalesce(F.try_url_decode(F.replace(segment, F.lit("+"), F.lit("%2B"))), segment)
-    plain = F.regexp_replace(plain, r"(?U)^\s+|\s+$", "")
-    clean = F.regexp_replace(plain, FORBIDDEN, "_")
-    clean = F.when(F.upper(clean).isin(RESERVED), F.concat(F.lit("_"), clean, F.lit("_"))).otherwise(clean)
-    clean = F.when(F.length(clean) > 120, F.concat(F.substring(clean, 1, 80), F.lit("_"), sha1_head(clean, 8))).otherwise(clean)
-    return F.when(plain.isin(".", "..", ""), "_").otherwise(clean)
+    decoded = F.coalesce(F.try_url_decode(F.replace(segment, F.lit("+"), F.lit("%2B"))), segment)
+    bounded = lambda c: F.when(F.length(c) > 120, F.concat(F.substring(c, 1, 80), F.lit("_"), sha1_head(c, 8))).otherwise(c)
+    named = lambda c: let(F.when(F.upper(c).isin(RESERVED), F.concat(F.lit("_"), c, F.lit("_"))).otherwise(c), bounded)
+    clean = lambda p: F.when(p.isin(".", "..", ""), "_").otherwise(let(F.regexp_replace(p, FORBIDDEN, "_"), named))
+    return let(F.regexp_replace(decoded, r"(?U)^\s+|\s+$", ""), clean)
 
 
 def _joined(path: Column) -> Column:
@@ -133,8 +144,8 @@ def _joined(path: Column) -> Column:
 
 def relative_path(url: Column, ignore: Sequence[str] = (), ignore_prefixes: Sequence[str] = ()) -> Column:
     """Sanitized path of a URL, 'index' for the root, with the query's suffix."""
-    joined = _joined(part(url, PATH))
-    return F.concat(F.when(joined == "", "index").otherwise(joined), query_suffix(url, ignore, ignore_prefixes))
+    named = let(_joined(part(url, PATH)), lambda j: F.when(j == "", "index").otherwise(j))
+    return F.concat(named, query_suffix(url, ignore, ignore_prefixes))
 
 
 def relative_path_from(url: Column, base_url: str, slug: str | None, ignore: Sequence[str] = (), ignore_prefixes: Sequence[str] = ()) -> Column:
@@ -142,15 +153,17 @@ def relative_path_from(url: Column, base_url: str, slug: str | None, ignore: Seq
     base = "/" + urlsplit(base_url).path.strip("/")
     if base == "/":
         return relative_path(url)
-    path = F.concat(F.lit("/"), F.regexp_replace(part(url, PATH), "^/+|/+$", ""))
-    rest = _joined(F.substring(path, len(base) + 1, 1 << 20))
     own = sanitize_segment(F.lit(slug)) if slug else F.lit("index")
-    below = F.concat(F.when(rest == "", own).otherwise(rest), query_suffix(url, ignore, ignore_prefixes))
-    return F.when((path == base) | path.startswith(base + "/"), below).otherwise(relative_path(url))
+
+    def of(path: Column) -> Column:
+        rest = let(_joined(F.substring(path, len(base) + 1, 1 << 20)), lambda r: F.when(r == "", own).otherwise(r))
+        return F.when((path == base) | path.startswith(base + "/"), F.concat(rest, query_suffix(url, ignore, ignore_prefixes))).otherwise(relative_path(url))
+
+    return let(F.concat(F.lit("/"), F.regexp_replace(part(url, PATH), "^/+|/+$", "")), of)
 
 
 def md_name(path: Column) -> Column:
-    return F.when(path.endswith(".md") | path.endswith(".md.txt"), path).otherwise(F.concat(path, F.lit(".md")))
+    return let(path, lambda p: F.when(p.endswith(".md") | p.endswith(".md.txt"), p).otherwise(F.concat(p, F.lit(".md"))))
 
 
 def output_path(url: Column, out: str, site_root: str | None = None, base_url: str | None = None, ignore: Sequence[str] = (), ignore_prefixes: Sequence[str] = ()) -> Column:

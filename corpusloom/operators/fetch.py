@@ -118,12 +118,9 @@ def outcome(config: RunConfig, converted: Column) -> Column:
     )
 
 
-def _of(order: Column, place: int) -> Column:
-    out = F.lit(None).cast("string")
-    for k, v in OUTCOMES.items():
-        if v[place] is not None:
-            out = F.when(order == k, v[place]).otherwise(out)
-    return out
+def of_outcome(order: Column, place: int) -> Column:
+    """Status (0), fetch kind (1) or note (2) of an outcome: one lookup, so that the tree is named but once where filters are pushed down."""
+    return F.element_at(F.array(*[F.lit(OUTCOMES[k][place]).cast("string") for k in sorted(OUTCOMES)]), order)
 
 
 def md_kind() -> Column:
@@ -143,13 +140,13 @@ def records(rows: DataFrame, config: RunConfig) -> DataFrame:
         "url",
         F.when(by_md & (F.col("ord") == 3), U.markdown_twin(F.col("url"))).otherwise(F.col("url")).alias("fetched_url"),
         "source",
-        F.coalesce(_of(F.col("ord"), 1), md_kind()).alias("fetch_kind"),
-        _of(F.col("ord"), 0).alias("status"),
+        F.coalesce(of_outcome(F.col("ord"), 1), md_kind()).alias("fetch_kind"),
+        of_outcome(F.col("ord"), 0).alias("status"),
         pick("status").cast("int").alias("http_status"),
         pick("content_type").alias("content_type"),
         F.coalesce(F.octet_length(body), F.lit(0)).cast("bigint").alias("bytes_written"),
         F.when(body.isNotNull(), F.col("out_path")).alias("out_path"),
-        _of(F.col("ord"), 2).alias("note"),
+        of_outcome(F.col("ord"), 2).alias("note"),
         F.when(F.col("ord").isin(2, 9), "oversize").when(F.col("ord").isin(4, 10, 13, 15), pick("error")).alias("error"),
         kinds.alias("error_kind"),
         F.coalesce(pick("etag"), F.when(unchanged, F.col("cached_etag"))).alias("etag"),
