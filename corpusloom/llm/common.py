@@ -53,21 +53,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(uri)
 
 
-def with_locator(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The given columns, and where each row stands: file_key (hash of its file's path) and row_at (its place in that file).
+def fresh(name: str, taken: Sequence[str]) -> str:
+    """The name, with as many underscores before it as it takes to differ from the taken ones."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
+
+
+def with_locator(df: DataFrame, columns: Sequence[str], names: tuple[str, str] = ("file_key", "row_at")) -> DataFrame:
+    """The given columns, and where each row stands: a hash of its file's path and its place in that file, under the names.
 
     Only rows of a file scan have a place. Other frames are first written to the shared folder, so that a place is the same however often a task is run."""
+    kept = scanned(df)
+    at = kept.metadataColumn("_metadata")
+    return kept.select(*[kept[c] for c in columns], F.xxhash64(at["file_path"]).alias(names[0]), at["row_index"].alias(names[1]))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows of the places in gone (file_key, row_at), with its columns as they were. docs is a file scan."""
+    names = fresh("file_key", docs.columns), fresh("row_at", docs.columns)
+    gone = written(gone.select("file_key", "row_at"), "gone")
+    gone = small_or_not(gone.toDF(*names), gone.count(), 32)
+    return with_locator(docs, docs.columns, names).join(gone, list(names), "left_anti").select(*docs.columns)
+
+
+def scanned(df: DataFrame) -> DataFrame:
+    """df itself if it is a file scan; else written to the shared folder and read, so that its rows have places."""
     try:
-        at = df.metadataColumn("_metadata")
-        found = df.select(*[df[c] for c in columns], F.xxhash64(at["file_path"]).alias("file_key"), at["row_index"].alias("row_at"))
-        found.schema  # noqa: B018
-        return found
+        df.select(df.metadataColumn("_metadata")["row_index"]).schema  # noqa: B018
+        return df
     except Exception as e:
         if "metadata" not in str(e).lower() and "UNRESOLVED_COLUMN" not in str(e):
             raise
-    kept = written(df.select(*columns), "rows")
-    at = kept.metadataColumn("_metadata")
-    return kept.select(*columns, F.xxhash64(at["file_path"]).alias("file_key"), at["row_index"].alias("row_at"))
+    return written(df, "rows")
 
 
 def text_of(column: str = "text") -> Column:

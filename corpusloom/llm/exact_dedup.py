@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, small_or_not, text_of, with_locator, written
+from .common import new_folder, scanned, small_or_not, text_of, with_locator, without_rows, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = {
@@ -102,12 +102,8 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fi
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """docs without its exact copies, with its columns as they were."""
-    verdicts = exact_dedup(docs)
-    located = with_locator(docs, docs.columns)
-    gone = verdicts.where("not kept").select(F.col("file_key").alias("__f"), F.col("row_at").alias("__r"))
-    gone = written(gone, "copies")
-    gone = small_or_not(gone, gone.count(), 32)
-    return located.join(gone, (located.file_key == gone["__f"]) & (located.row_at == gone["__r"]), "left_anti").select(*docs.columns)
+    docs = scanned(docs)
+    return without_rows(docs, exact_dedup(docs).where("not kept"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import fresh, text_of
 
 TERMS = 4096  # hashed terms; the last four are marks of style
 REPEATED, SHOUTED, DECORATED, JOINED = range(TERMS - 4, TERMS)
@@ -74,7 +74,8 @@ class Model:
         k = min(self.neighbours, len(self.vectors))
         for i in range(0, len(texts) if k else 0, BLOCK):
             z = self.latent(texts[i : i + BLOCK])
-            near = z @ self.vectors.T
+            # Blocks are always full, so that a text's cosines don't depend on what it is multiplied with.
+            near = (np.concatenate([z, np.zeros((BLOCK - len(z), z.shape[1]), np.float32)]) @ self.vectors.T)[: len(z)]
             top = np.argpartition(-near, k - 1, axis=1)[:, :k]
             weight = np.clip(np.take_along_axis(near, top, axis=1), 0, 1).astype(np.float64) ** self.sharpness
             for_, all_ = (weight * self.votes[top, 1]).sum(axis=1), (weight * self.votes[top].sum(axis=2)).sum(axis=1)
@@ -125,9 +126,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, latent: int =
 
 
 def scored(docs: DataFrame, model: Model, name: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (all, if none are named) and the score of each row's text."""
+    """The columns keep (all, if none are named) and the score of each row's text; a column of the score's name gives way to it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 x per_class vectors and the projection: a few MB
-    fields = [docs.schema[c] for c in (keep if keep is not None else docs.columns)]
+    fields = [docs.schema[c] for c in (keep if keep is not None else docs.columns) if c.lower() != name.lower()]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +143,8 @@ def scored(docs: DataFrame, model: Model, name: str = "score", keep: list[str] |
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """docs without those scored below the threshold, with its columns as they were."""
-    return scored(docs, fit(docs, labels), "__score").where(F.col("__score") >= threshold).select(*docs.columns)
+    name = fresh("score", docs.columns)
+    return scored(docs, fit(docs, labels), name).where(F.col(name) >= threshold).select(*docs.columns)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

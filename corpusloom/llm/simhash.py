@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, text_of, with_locator, written
+from .common import BROADCAST_BYTES, scanned, text_of, with_locator, without_rows, written
 from .components import components
 from .gray_index import Forest, GrayIndex, distance, gray_order
 
@@ -197,12 +197,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
 
 def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one document of each group of near copies, with its columns as they were."""
-    from .common import small_or_not
-
-    gone = written(near_copies(docs, words, similarity).where("not first").select(F.col("file_key").alias("__f"), F.col("row_at").alias("__r")), "copies")
-    gone = small_or_not(gone, gone.count(), 32)
-    located = with_locator(docs, docs.columns)
-    return located.join(gone, (located.file_key == gone["__f"]) & (located.row_at == gone["__r"]), "left_anti").select(*docs.columns)
+    docs = scanned(docs)
+    return without_rows(docs, near_copies(docs, words, similarity).where("not first"))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
