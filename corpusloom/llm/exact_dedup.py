@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import new_folder, scanned, small_or_not, text_of, with_locator, without_rows, written
 
+#: Rows of a group of equal digests that one task compares.
+SALT_ROWS = 128
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
@@ -76,12 +79,13 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fi
     winners = written(store.winners(), "winners")
 
     # Hits: full bytes against the bytes of the row that stays.
-    shared = winners.where("group_size > 1").select("digest", "keep")
-    hits = keyed.join(small_or_not(shared, shared.count(), 80), "digest")
+    shared = winners.where("group_size > 1").select("digest", "keep", F.ceil(F.col("group_size") / SALT_ROWS).cast("int").alias("salts"))
+    hits = keyed.join(small_or_not(shared, shared.count(), 90), "digest")
     is_keeper = (F.col("file_key") == F.col("keep.file_key")) & (F.col("row_at") == F.col("keep.row_at"))
-    keepers = hits.where(is_keeper).select("digest", F.col("text").alias("keep_text"))
-    others = hits.where(~is_keeper).select("digest", "text")
-    differing = written(others.join(keepers, "digest").where("text <> keep_text").select("digest").distinct(), "differing")
+    # A large group is dealt out by salts, each with its own copy of the text that stays.
+    keepers = hits.where(is_keeper).select("digest", F.col("text").alias("keep_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    others = hits.where(~is_keeper).select("digest", "text", F.pmod(F.xxhash64("file_key", "row_at"), F.col("salts")).cast("int").alias("salt"))
+    differing = written(others.join(keepers, ["digest", "salt"]).where("text <> keep_text").select("digest").distinct(), "differing")
 
     found = keys.join(winners, "digest")
     if not differing.isEmpty():  # one digest, several texts: part those groups by their bytes
