@@ -174,7 +174,8 @@ def near_components(rows: DataFrame, words: int = 3, bits: int = 64, radius: int
     distinct = written(each.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file_key", "row_at")).alias("least")), "distinct")
     roots = components(links(distinct, bits, radius, blocks))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    # Written first: the join below then has an exchange on either side, and a root with very many fingerprints can be split.
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("first")), "roots")
     named = rooted.join(least, "root").select(F.col("fp").alias("fp_"), "first")
     out = each.join(named, each.fp == F.col("fp_"))
     stands = (F.col("first.file_key") == F.col("file_key")) & (F.col("first.row_at") == F.col("row_at"))
