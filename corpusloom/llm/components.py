@@ -1,7 +1,7 @@
 """Connected components of an edge table: alternating large-star and small-star rounds, each written to the shared folder.
 
 No link or component reaches the driver; it sees a count and a checksum per round. A node with very many links is pre-aggregated
-before the shuffle (min), and its rows are split by Spark's skew join handling."""
+before the shuffle (min) and its least is written, so that either side of the join has an exchange of its own and Spark can split its rows."""
 
 from __future__ import annotations
 
@@ -13,13 +13,13 @@ from .common import written
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+    least = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "least")
     return both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """edges have a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
+    least = written(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"), "least")
     moved = edges.join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
