@@ -72,8 +72,9 @@ def normalize_url(url: Column, ignore: Sequence[str] = (), ignore_prefixes: Sequ
     scheme, netloc, path = F.lower(part(url, SCHEME)), F.lower(part(url, NETLOC)), part(url, PATH)
     netloc = F.when(scheme == "http", F.regexp_replace(netloc, ":80$", "")).when(scheme == "https", F.regexp_replace(netloc, ":443$", "")).otherwise(netloc)
     path = F.when(path.isin("", "/"), "/").otherwise(F.regexp_replace(path, "/+$", ""))
+    tail = F.concat(path, F.when(params(url) != "", F.concat(F.lit(";"), params(url))).otherwise(""))
     query = canonical_query(part(url, QUERY), ignore, ignore_prefixes)
-    return F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), F.when((netloc != "") | part(url, 0).contains("://"), F.concat(F.lit("//"), netloc)).otherwise(""), path, F.when(params(url) != "", F.concat(F.lit(";"), params(url))).otherwise(""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), F.when((netloc != "") | part(url, 0).contains("://"), F.concat(F.lit("//"), netloc)).otherwise(""), F.when((netloc != "") & (tail != "") & ~tail.startswith("/"), F.concat(F.lit("/"), tail)).otherwise(tail), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
 def extension(url: Column) -> Column:
