@@ -47,8 +47,8 @@ class GrayIndex:
         self.patterns = [p for p, _ in levels]
         self.masks = [m & ~np.repeat(levels[k + 1][1], FAN, axis=0)[: len(m)] if k + 1 < len(levels) else m for k, (_, m) in enumerate(levels)]
 
-    def lower_neighbours(self, radius: int, room: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Blocks of pairs (i, j), j < i, of all codes at most radius apart. A block of queries meets at most about room candidates a level."""
+    def lower_neighbours(self, radius: int, room: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Blocks of pairs (i, j), j < i, of all codes at most radius apart, and their distances. A block of queries meets at most about room candidates a level."""
         codes, top = self.patterns[0], len(self.sizes) - 1
         step = max(1, min(2048, room // max(self.sizes[0], 1)))
         for start in range(0, len(codes), step):
@@ -66,7 +66,7 @@ class GrayIndex:
                     q, sum_ = np.repeat(q, FAN), np.repeat(sum_, FAN)
                     there = children < self.sizes[level - 1]
                     q, node, sum_ = q[there], children[there], sum_[there]
-            yield q, node
+            yield q, node, sum_
 
 
 class Forest:
@@ -86,3 +86,27 @@ class Forest:
             while not np.array_equal(q := p[p], p):
                 p = q
         self.parent = p
+
+
+def closest(group: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Of each group, the index of one row with the least distance."""
+    order = np.lexsort((apart, group))
+    return order[np.flatnonzero(np.diff(group[order], prepend=-1))]
+
+
+def spanning(a: np.ndarray, b: np.ndarray, apart: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Indices of a minimum spanning forest of the links between the groups that parent has: of each group, in rounds, the closest link out of it."""
+    forest, order = Forest(len(parent)), np.argsort(apart, kind="stable")
+    forest.parent = parent.copy()
+    a, b, left, kept = a[order], b[order], np.arange(len(order)), [np.empty(0, np.int64)]
+    while True:
+        x, y = forest.parent[a[left]], forest.parent[b[left]]
+        out = x != y
+        if not out.any():
+            return order[np.concatenate(kept)]
+        left, least = left[out], np.full(len(parent), len(order))
+        for side in (x[out], y[out]):
+            np.minimum.at(least, side, left)
+        picked = np.unique(least[least < len(order)])
+        kept.append(picked)
+        forest.join(a[picked], b[picked])

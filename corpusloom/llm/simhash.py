@@ -5,6 +5,9 @@ differing bits allowed, every linked pair shares a block exactly, so none is los
 and searched within the radius; a task hands on a spanning forest of what it has linked, never all pairs. Blocks with very many
 fingerprints are dealt out once more by the remaining bits, which keeps the result whole.
 
+At a similarity of shingles instead of a distance, only links of a small distance are sure. Of the others a task hands on the closest
+ones between the groups it has (a minimum spanning forest), and the exact similarity of the two texts' shingles decides each.
+
 Defined results: a null text counts as empty; a text without words has fingerprint zero and links like any other; repeated rows
 come out as often as they occur; a null doc_id is ignored by the smallest doc_id; an empty table gives no rows.
 """
@@ -20,13 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, scanned, text_of, with_locator, without_rows, written
+from .common import BROADCAST_BYTES, scanned, small_or_not, text_of, with_locator, without_rows, written
 from .components import components
-from .gray_index import Forest, GrayIndex, distance, gray_order
+from .gray_index import Forest, GrayIndex, closest, distance, gray_order, spanning
 
 #: A block with more fingerprints than this is dealt out again by its other bits.
 MOST_IN_BLOCK = 50_000
 SMALL = 24  # runs up to this size are compared directly
+HELD = 2_000_000  # unsure links of a run in memory; beyond it they are thinned to a spanning forest
 
 Blocks = Sequence[tuple[int, ...]]  # byte positions of each block
 
@@ -60,23 +64,24 @@ def fingerprint(hashes: np.ndarray, words64: int = 1) -> bytes:
     return b"".join(out)
 
 
-def fingerprints(rows: DataFrame, words: int, bits: int, keep: Sequence[str]) -> DataFrame:
-    """The columns keep, and fp (binary) of the column text."""
+def fingerprints(rows: DataFrame, words: int, bits: int, keep: Sequence[str], repeats: bool = True) -> DataFrame:
+    """The columns keep, and fp (binary) of the column text's shingles, repeats included or not."""
     fields = [f for f in rows.schema.fields if f.name in keep]
     names = [f.name for f in fields]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(names)).to_pylist()
-            fps = pa.array([fingerprint(shingle_hashes(t, words), bits // 64) for t in texts], pa.binary())
+            hashes = (shingle_hashes(t, words) for t in texts)
+            fps = pa.array([fingerprint(h if repeats else np.unique(h), bits // 64) for h in hashes], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fps], names=[*names, "fp"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", fp binary"
     return rows.select(*names, text_of().cast("binary").alias("text")).mapInArrow(of, schema)
 
 
-def _small_runs(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (node, root) within many short runs of rows at once."""
+def _small_runs(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int, sure: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Links (node, root, true) and unsure links (node, node, false) within many short runs of rows at once."""
     for size in np.unique(sizes):
         if size < 2:
             continue
@@ -84,41 +89,53 @@ def _small_runs(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius
         for i in range(0, len(all_rows), max(1, 200_000 // int(size * size))):
             rows = all_rows[i : i + max(1, 200_000 // int(size * size))]
             c = codes[rows]
-            linked = distance(c[:, :, None], c[:, None, :]) <= radius
+            apart = distance(c[:, :, None], c[:, None, :])
             label = np.broadcast_to(np.arange(size), rows.shape)
             while True:
-                least = np.where(linked, label[:, None, :], size).min(axis=2)
+                least = np.where(apart <= sure, label[:, None, :], size).min(axis=2)
                 if np.array_equal(least, label):
                     break
                 label = least
             moved = label != np.arange(size)
-            yield rows[moved], np.take_along_axis(rows, label, axis=1)[moved]
+            yield rows[moved], np.take_along_axis(rows, label, axis=1)[moved], np.ones(int(moved.sum()), bool)
+            if radius > sure:
+                run, x, y = np.nonzero((apart <= radius) & (label[:, :, None] > label[:, None, :]))
+                best = closest((run * size + label[run, x]) * size + label[run, y], apart[run, x, y])
+                yield rows[run[best], x[best]], rows[run[best], y[best]], np.zeros(len(best), bool)
 
 
-def _large_run(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _large_run(codes: np.ndarray, radius: int, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = gray_order(codes)
     forest = Forest(len(codes))
-    for a, b in GrayIndex(codes[order]).lower_neighbours(radius):
-        forest.join(a, b)
+    unsure = [np.empty(0, np.int64)] * 3
+    for found in GrayIndex(codes[order]).lower_neighbours(radius):
+        near = found[2] <= sure
+        forest.join(found[0][near], found[1][near])
+        if not near.all():
+            unsure = [np.concatenate([u, f[~near]]) for u, f in zip(unsure, found, strict=True)]
+            if len(unsure[0]) > HELD:
+                unsure = [u[kept] for kept in [spanning(*unsure, forest.parent)] for u in unsure]
+    kept = spanning(*unsure, forest.parent)
     moved = np.flatnonzero(forest.parent != np.arange(len(codes)))
-    return order[moved], order[forest.parent[moved]]
+    a, b = np.concatenate([moved, unsure[0][kept]]), np.concatenate([forest.parent[moved], unsure[1][kept]])
+    return order[a], order[b], np.arange(len(a)) < len(moved)
 
 
-def _link(radius: int, width: int):
-    """For partitions sorted by key: the links a, b found among the rows of each key."""
+def _link(radius: int, sure: int, width: int):
+    """For partitions sorted by key: the links a, b found among the rows of each key, and whether they are sure."""
 
     def of(keys: np.ndarray, raw: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.diff(np.append(starts, len(keys)))
         codes = raw.view(">u8").astype(np.uint64).reshape(len(raw), width // 8)
-        found = list(_small_runs(codes, starts[sizes <= SMALL], sizes[sizes <= SMALL], radius))
+        found = list(_small_runs(codes, starts[sizes <= SMALL], sizes[sizes <= SMALL], radius, sure))
         for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-            a, b = _large_run(codes[start : start + size], radius)
-            found.append((start + a, start + b))
+            a, b, certain = _large_run(codes[start : start + size], radius, sure)
+            found.append((start + a, start + b, certain))
         if found:
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            a, b, certain = (np.concatenate(x) for x in zip(*found, strict=True))
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(raw[x].reshape(-1, width).view(f"V{width}").ravel().tolist(), pa.binary()) for x in (a, b)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(raw[x].reshape(-1, width).view(f"V{width}").ravel().tolist(), pa.binary()) for x in (a, b)], pa.array(certain)], names=["a", "b", "sure"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -139,8 +156,9 @@ def _link(radius: int, width: int):
     return task
 
 
-def links(distinct: DataFrame, bits: int, radius: int, blocks: Blocks) -> DataFrame:
-    """Links a, b between fingerprints (column fp, each once) at most radius bits apart that share a block: a spanning forest of each."""
+def links(distinct: DataFrame, bits: int, radius: int, blocks: Blocks, sure: int | None = None) -> DataFrame:
+    """Links a, b between fingerprints (column fp, each once) at most radius bits apart that share a block: a spanning forest of each.
+    The column sure tells those at most sure bits apart (the radius, if none are named)."""
     hexed = F.hex("fp")
     part = lambda positions: F.concat(*[F.substring(hexed, 2 * p + 1, 2) for p in positions])
     keyed = distinct.select("fp", F.explode(F.array(*[F.concat(F.lit(f"{i:x}."), part(p)) for i, p in enumerate(blocks)])).alias("key"))
@@ -161,18 +179,48 @@ def links(distinct: DataFrame, bits: int, radius: int, blocks: Blocks) -> DataFr
             again = F.coalesce(*[F.when(F.col("key").startswith(prefix), parts) for prefix, parts in finer])
             keyed = marked.select("fp", F.explode(F.when(F.col("large").isNull(), F.array("key")).otherwise(again)).alias("key"))
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.select("key", "fp").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link(radius, bits // 8), "a binary, b binary")
+    return keyed.select("key", "fp").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link(radius, radius if sure is None else sure, bits // 8), "a binary, b binary, sure boolean")
 
 
 EXACT_BLOCKS: Blocks = ((0, 1), (2, 3), (4, 5), (6, 7))
 
 
-def near_components(rows: DataFrame, words: int = 3, bits: int = 64, radius: int = 3, blocks: Blocks = EXACT_BLOCKS) -> DataFrame:
-    """doc_id, file_key, row_at, fp, component_id (smallest doc_id reachable), first (whether the row stands for its component)."""
+def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
+    """fp, and the distinct shingle hashes of the column text."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
+
+    return rows.select("fp", text_of().cast("binary").alias("text")).mapInArrow(of, "fp binary, shingles array<bigint>")
+
+
+def confirmed(found: DataFrame, distinct: DataFrame, located: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The sure links, and of the others those whose texts have the similarity (Jaccard of distinct shingles). Only texts of unsure
+    links are read again, once each; a text without shingles is like none."""
+    found = written(found.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.max("sure").alias("sure")), "links")
+    unsure = found.where(~F.col("sure")).select("a", "b")
+    named = unsure.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    asked = written(named.join(distinct, "fp").select("fp", "least.file_key", "least.row_at"), "asked")
+    texts = located.select("file_key", "row_at", "text").join(small_or_not(asked, asked.count(), 200), ["file_key", "row_at"])
+    sets = written(shingle_sets(texts, words), "shingles")
+    one, other = (sets.select(F.col("fp").alias(end), F.col("shingles").alias(f"of_{end}")) for end in ("a", "b"))
+    shared = unsure.join(one, "a").join(other, "b").select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("n"), (F.size("of_a") + F.size("of_b")).alias("both"))
+    return found.where("sure").select("a", "b").unionByName(shared.where(F.col("n") >= similarity * (F.col("both") - F.col("n"))).where("n > 0").select("a", "b"))
+
+
+def near_components(rows: DataFrame, words: int = 3, bits: int = 64, radius: int = 3, blocks: Blocks = EXACT_BLOCKS, sure: int | None = None, similarity: float | None = None) -> DataFrame:
+    """doc_id, file_key, row_at, fp, component_id (smallest doc_id reachable), first (whether the row stands for its component).
+
+    With a similarity, fingerprints are of distinct shingles, and links of more than sure bits must have it."""
     located = with_locator(rows, ["doc_id", "text"])
-    each = written(fingerprints(located, words, bits, ["doc_id", "file_key", "row_at"]), "fingerprints")
+    each = written(fingerprints(located, words, bits, ["doc_id", "file_key", "row_at"], similarity is None), "fingerprints")
     distinct = written(each.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file_key", "row_at")).alias("least")), "distinct")
-    roots = components(links(distinct, bits, radius, blocks))
+    found = links(distinct, bits, radius, blocks, sure)
+    roots = components(found if similarity is None else confirmed(found, distinct, located, words, similarity))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # Written first: the join below then has an exchange on either side, and a root with very many fingerprints can be split.
     least = written(rooted.groupBy("root").agg(F.min("least").alias("first")), "roots")
@@ -182,18 +230,20 @@ def near_components(rows: DataFrame, words: int = 3, bits: int = 64, radius: int
     return out.select(F.col("doc_id").cast("bigint").alias("doc_id"), "file_key", "row_at", "fp", F.col("first.doc_id").cast("bigint").alias("component_id"), stands.alias("first"))
 
 
-def radius_for(jaccard: float, bits: int, deviations: float = 1.2) -> int:
-    """Differing bits within which about nine in ten pairs of exactly this shingle similarity stand: their cosine is 2j / (1 + j), and
-    each bit differs with the chance angle / pi."""
+def radius_for(jaccard: float, bits: int, deviations: float) -> int:
+    """Differing bits of pairs of exactly this shingle similarity, and so many deviations more: their cosine is 2j / (1 + j), and each
+    bit differs with the chance angle / pi."""
     p = math.acos(2 * jaccard / (1 + jaccard)) / math.pi
     return round(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 512) -> DataFrame:
-    """near_components at a similarity of five-word shingles. Such texts differ in more bits than can be blocked exactly: the two-byte
-    blocks of 512 bits bring together over nine in ten pairs at a similarity of 0.8 and nearly all from 0.9 on; the distance decides."""
-    blocks = [(i, i + 1) for i in range(0, bits // 8, 2)]
-    return near_components(docs, words, bits, radius_for(similarity, bits), blocks)
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 256) -> DataFrame:
+    """near_components at a similarity of five-word shingles. Such texts differ in more bits than can be blocked exactly: two bytes each,
+    every byte with its next and its fifth next, bring together some 97 in 100 pairs of a similarity of 0.8 and nearly all from 0.85 on.
+    Distances up to two deviations above that of the similarity are looked at; those over 2.3 deviations below it are sure."""
+    n = bits // 8
+    blocks = [(i, (i + step) % n) for step in (1, 5) for i in range(n)]
+    return near_components(docs, words, bits, radius_for(similarity, bits, 2.0), blocks, radius_for(similarity, bits, -2.3), similarity)
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

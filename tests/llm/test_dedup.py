@@ -113,7 +113,9 @@ def test_gray_index_loses_no_pair(words):
     codes = rng.integers(0, 1 << 63, (40, words), dtype=np.uint64).repeat(12, axis=0)
     codes ^= np.uint64(1) << rng.integers(0, 63, codes.shape, dtype=np.uint64)
     codes = codes[G.gray_order(codes)]
-    got = {(int(a), int(b)) for x, y in G.GrayIndex(codes).lower_neighbours(4) for a, b in zip(x, y, strict=True)}
+    found = [np.concatenate(part) for part in zip(*G.GrayIndex(codes).lower_neighbours(4), strict=True)]
+    got = {(int(a), int(b)) for a, b, _ in zip(*found, strict=True)}
+    assert np.array_equal(found[2], G.distance(codes[found[0]], codes[found[1]]))
     assert got == {(a, b) for a in range(len(codes)) for b in range(a) if G.distance(codes[a], codes[b]) <= 4}
     small = np.arange(16, dtype=np.uint64).reshape(-1, 1)
     steps = small[G.gray_order(small)].ravel()
@@ -142,3 +144,45 @@ def test_without_near_copies_keeps_columns(edge):
     kept = S.without_near_copies(edge)
     assert kept.columns == edge.columns
     assert isinstance(kept.toPandas(), pd.DataFrame)
+
+
+def test_spanning_forest_and_closest():
+    a, b, apart = np.array([1, 2, 2, 4, 5]), np.array([0, 1, 0, 3, 3]), np.array([9, 4, 5, 7, 7])
+    kept = G.spanning(a, b, apart, np.array([0, 1, 2, 3, 4, 4]))  # 4 and 5 are one group already
+    assert sorted(kept.tolist()) in ([1, 2, 3], [1, 2, 4])
+    assert G.spanning(a, b, apart, np.zeros(6, np.int64)).tolist() == []
+    assert sorted(G.closest(np.array([3, 1, 3, 1]), np.array([2, 5, 1, 6])).tolist()) == [1, 2]
+
+
+def brute_similar(texts, words=5, at_least=0.8):
+    """Groups of texts joined by shingle similarity, each as a set of places."""
+    sets = [set(S.shingle_hashes((t or "").encode(), words).tolist()) for t in texts]
+    label = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if texts[i] == texts[j] or (x and y and len(x & y) >= at_least * len(x | y)):
+                low, high = sorted((label[i], label[j]))
+                label = [low if k == high else k for k in label]
+    return label
+
+
+@pytest.mark.parametrize("small", [24, 2])
+def test_near_copies_against_brute_force(spark, monkeypatch, small):
+    """Families of texts around the similarity: no group holds what brute force keeps apart, and few true pairs are missed."""
+    monkeypatch.setattr(S, "SMALL", small)  # 2: nearly every run goes through the index
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(25):
+        words = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+        for changes in (0, 1, 3, 5, 6, 8, 12):
+            other = list(words)
+            for at in rng.integers(0, 300, changes):
+                other[at] = f"x{rng.integers(0, 5000)}"
+            texts.append(" ".join(other))
+    texts += ["", None, "one two", "one  two"]
+    label = brute_similar([t or "" for t in texts])
+    got = S.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).toPandas().set_index("doc_id")["component_id"]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if label[i] == label[j]]
+    joined = {(i, j) for i in range(len(texts)) for j in range(i) if got[i] == got[j]}
+    assert joined <= set(pairs)
+    assert len(joined) >= 0.9 * len(pairs)
