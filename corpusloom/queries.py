@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -174,14 +176,14 @@ def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("url", *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in FETCH_SCHEMA.fields[1:]])
 
 
-def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.run(pages(spark, sf_dir).select("url"), captured(spark, sf_dir), RUN, robots_txt=ROBOTS, run_id="0123456789ab").manifest
+def manifest(spark: SparkSession, sf_dir: str, config: RunConfig = RUN) -> DataFrame:
+    return P.run(pages(spark, sf_dir).select("url"), captured(spark, sf_dir), config, robots_txt=ROBOTS, run_id="0123456789ab").manifest
 
 
 @query(f"{MANIFEST_SQL} SELECT url, note FROM rejected")
-def rejected_records(spark, sf_dir):
-    kept, records = P.plan_urls(pages(spark, sf_dir).select("url"), RUN, "sitemap")
-    _, disallowed, _ = R.split_by_robots(kept, ROBOTS, RUN.user_agent)
+def rejected_records(spark, sf_dir, config=RUN):
+    kept, records = P.plan_urls(pages(spark, sf_dir).select("url"), config, "sitemap")
+    _, disallowed, _ = R.split_by_robots(kept, ROBOTS, config.user_agent)
     out = P.rejected(disallowed, "robots_disallow", "robots", "sitemap")
     for r in records:
         out = out.unionByName(r)
@@ -189,8 +191,8 @@ def rejected_records(spark, sf_dir):
 
 
 @query(f"{MANIFEST_SQL} SELECT url, status, fetch_kind, note, http_status FROM m")
-def manifest_rows(spark, sf_dir):
-    return manifest(spark, sf_dir).select("url", "status", "fetch_kind", "note", "http_status")
+def manifest_rows(spark, sf_dir, config=RUN):
+    return manifest(spark, sf_dir, config).select("url", "status", "fetch_kind", "note", "http_status")
 
 
 SUMMARY_SQL = f"""{MANIFEST_SQL}, counts AS (
@@ -200,32 +202,32 @@ UNION ALL SELECT 'extractor', CASE WHEN status = 'ok' THEN 'raw' ELSE 'none' END
 
 
 @query(f"{SUMMARY_SQL} SELECT * FROM counts")
-def run_summary(spark, sf_dir):
-    return V.summary(manifest(spark, sf_dir))
+def run_summary(spark, sf_dir, config=RUN):
+    return V.summary(manifest(spark, sf_dir, config))
 
 
 @query(f"{SUMMARY_SQL} SELECT key, count, floor(count * 240 / max(count) OVER ())::INT AS px FROM counts WHERE dimension = 'note' ORDER BY count DESC, key LIMIT 5")
-def top_notes(spark, sf_dir):
-    counts = V.summary(manifest(spark, sf_dir))
+def top_notes(spark, sf_dir, config=RUN):
+    counts = V.summary(manifest(spark, sf_dir, config))
     return V.top_n(V.with_bars(counts), "note").select("key", "count", "px")
 
 
 @query(f"""{MANIFEST_SQL} SELECT count(*) AS total, count_if(status = 'ok') AS ok, count_if(status = 'failed') AS failed, count_if(status = 'skipped') AS skipped,
 count_if(note = 'path_collision') AS path_collisions, count_if(note = 'max_pages_limit') AS limited_urls FROM m""")
-def report_scalars(spark, sf_dir):
-    return V.report_scalars(manifest(spark, sf_dir))
+def report_scalars(spark, sf_dir, config=RUN):
+    return V.report_scalars(manifest(spark, sf_dir, config))
 
 
 @query(f"{MANIFEST_SQL} SELECT url, status, note FROM m WHERE status <> 'ok'")
-def failures_table(spark, sf_dir):
-    return V.failures(manifest(spark, sf_dir)).select("url", "status", "note")
+def failures_table(spark, sf_dir, config=RUN):
+    return V.failures(manifest(spark, sf_dir, config)).select("url", "status", "note")
 
 
 @query(f"{MANIFEST_SQL} SELECT url, status, out_path, bytes_written > 0 AS has_body FROM (SELECT m.url, status, CASE WHEN status = 'ok' THEN out_path END AS out_path, CASE WHEN status = 'ok' THEN 1 ELSE 0 END AS bytes_written FROM m LEFT JOIN kept_ USING (url))")
-def index_view(spark, sf_dir):
+def index_view(spark, sf_dir, config=RUN):
     from .sources.manifest import index
 
-    return index(manifest(spark, sf_dir)).select("url", "status", "out_path", (F.col("bytes_written") > 0).alias("has_body"))
+    return index(manifest(spark, sf_dir, config)).select("url", "status", "out_path", (F.col("bytes_written") > 0).alias("has_body"))
 
 
 @query("""SELECT array_to_string(p, '/') AS path, repeat('  ', len(p) - 1) || '- ' || p[-1] AS line FROM (
@@ -403,16 +405,26 @@ def _shared(spark: SparkSession, name: str) -> str:
 
 
 @query(f"{SUMMARY_SQL} SELECT * FROM counts")
-def stream_summary(spark, sf_dir):
+def stream_summary(spark, sf_dir, config=RUN):
     """Counts of a ledger taken in as a stream; the same as those of a batch."""
     from .sources import manifest as M
 
     folder = _shared(spark, "ledger")
-    M.append(manifest(spark, sf_dir).drop("stage_ord"), f"{folder}/rows")
+    M.append(manifest(spark, sf_dir, config).drop("stage_ord"), f"{folder}/rows")
     ledger.stream_summary(ledger.ledger_stream(spark, f"{folder}/rows"), f"{folder}/state", f"{folder}/counts")
     return spark.read.parquet(f"{folder}/counts")
 
 
 @query(f"{MANIFEST_SQL} SELECT DISTINCT url FROM m WHERE status = 'ok'")
-def ok_urls(spark, sf_dir):
-    return O.ok_urls(manifest(spark, sf_dir))
+def ok_urls(spark, sf_dir, config=RUN):
+    return O.ok_urls(manifest(spark, sf_dir, config))
+
+
+# -- Whole runs: the queries above that share RUN, without its page limit ------------------------------------------------------------------
+
+WHOLE = dataclasses.replace(RUN, max_pages=0)
+
+
+for _name in ("rejected_records", "manifest_rows", "run_summary", "top_notes", "report_scalars", "failures_table", "index_view", "stream_summary", "ok_urls"):
+    QUERIES[f"{_name}_whole"] = functools.partial(QUERIES[_name], config=WHOLE)
+    SQL[f"{_name}_whole"] = SQL[_name].replace("FROM unique_ ORDER BY url LIMIT 100)", "FROM unique_)")

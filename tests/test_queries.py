@@ -30,3 +30,13 @@ def test_quota_is_an_ordered_fold(spark, sf_dir):
             want.append(i)
             used += n
     assert sorted(r["ord"] for r in q.snapshot_quota(spark, sf_dir).collect()) == want
+
+
+def test_whole_runs_have_no_page_limit(spark):
+    """sf0.01 has more than 100 unique URLs; each is fetched or refused by robots."""
+    rows = q.QUERIES["manifest_rows_whole"](spark, "/root/testdata/sf0.01").toPandas()
+    limited = q.manifest_rows(spark, "/root/testdata/sf0.01").toPandas()
+    assert not (rows["note"] == "max_pages_limit").any()
+    assert (limited["note"] == "max_pages_limit").any() and len(rows) == len(limited)
+    assert (rows["status"] == "ok").sum() > 100 >= (limited["status"] == "ok").sum()
+    assert not any("LIMIT 100)," in q.SQL[n].split("unique_ AS")[1] for n in q.SQL if n.endswith("_whole"))
