@@ -110,3 +110,15 @@ def spanning(a: np.ndarray, b: np.ndarray, apart: np.ndarray, parent: np.ndarray
         picked = np.unique(least[least < len(order)])
         kept.append(picked)
         forest.join(a[picked], b[picked])
+
+
+def forests(a: np.ndarray, b: np.ndarray, apart: np.ndarray, parent: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of so many minimum spanning forests between the groups, one after another, and of the links between groups that are in none of them."""
+    left, kept = np.flatnonzero(parent[a] != parent[b]), [np.empty(0, np.int64)]
+    for _ in range(many):
+        if not len(left):
+            break
+        picked = spanning(a[left], b[left], apart[left], parent)
+        kept.append(left[picked])
+        left = np.delete(left, picked)
+    return np.concatenate(kept), left

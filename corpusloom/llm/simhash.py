@@ -6,7 +6,8 @@ and searched within the radius; a task hands on a spanning forest of what it has
 fingerprints are dealt out once more by the remaining bits, which keeps the result whole.
 
 At a similarity of shingles instead of a distance, only links of a small distance are sure. Of the others a task hands on the closest
-ones between the groups it has (a minimum spanning forest), and the exact similarity of the two texts' shingles decides each.
+ones between the groups it has (a minimum spanning forest), and the exact similarity of the two texts' shingles decides each. Where they
+fail, the next closest follow, until the groups are joined or no link between them is left.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and links like any other; repeated rows
 come out as often as they occur; a null doc_id is ignored by the smallest doc_id; an empty table gives no rows.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, scanned, small_or_not, text_of, with_locator, without_rows, written
 from .components import components
-from .gray_index import Forest, GrayIndex, closest, distance, gray_order, spanning
+from .gray_index import Forest, GrayIndex, distance, forests, gray_order
 
 #: A block with more fingerprints than this is dealt out again by its other bits.
 MOST_IN_BLOCK = 50_000
@@ -80,85 +81,110 @@ def fingerprints(rows: DataFrame, words: int, bits: int, keep: Sequence[str], re
     return rows.select(*names, text_of().cast("binary").alias("text")).mapInArrow(of, schema)
 
 
-def _small_runs(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int, sure: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Links (node, root, true) and unsure links (node, node, false) within many short runs of rows at once."""
-    for size in np.unique(sizes):
-        if size < 2:
-            continue
+def _pairs(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs of rows at most radius bits apart within each run, and their distances. Many short runs are compared at once."""
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
         all_rows = starts[sizes == size][:, None] + np.arange(size)
-        for i in range(0, len(all_rows), max(1, 200_000 // int(size * size))):
-            rows = all_rows[i : i + max(1, 200_000 // int(size * size))]
-            c = codes[rows]
-            apart = distance(c[:, :, None], c[:, None, :])
-            label = np.broadcast_to(np.arange(size), rows.shape)
-            while True:
-                least = np.where(apart <= sure, label[:, None, :], size).min(axis=2)
-                if np.array_equal(least, label):
-                    break
-                label = least
-            moved = label != np.arange(size)
-            yield rows[moved], np.take_along_axis(rows, label, axis=1)[moved], np.ones(int(moved.sum()), bool)
-            if radius > sure:
-                run, x, y = np.nonzero((apart <= radius) & (label[:, :, None] > label[:, None, :]))
-                best = closest((run * size + label[run, x]) * size + label[run, y], apart[run, x, y])
-                yield rows[run[best], x[best]], rows[run[best], y[best]], np.zeros(len(best), bool)
-
-
-def _large_run(codes: np.ndarray, radius: int, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = gray_order(codes)
-    forest = Forest(len(codes))
-    unsure = [np.empty(0, np.int64)] * 3
-    for found in GrayIndex(codes[order]).lower_neighbours(radius):
-        near = found[2] <= sure
-        forest.join(found[0][near], found[1][near])
-        if not near.all():
-            unsure = [np.concatenate([u, f[~near]]) for u, f in zip(unsure, found, strict=True)]
-            if len(unsure[0]) > HELD:
-                unsure = [u[kept] for kept in [spanning(*unsure, forest.parent)] for u in unsure]
-    kept = spanning(*unsure, forest.parent)
-    moved = np.flatnonzero(forest.parent != np.arange(len(codes)))
-    a, b = np.concatenate([moved, unsure[0][kept]]), np.concatenate([forest.parent[moved], unsure[1][kept]])
-    return order[a], order[b], np.arange(len(a)) < len(moved)
-
-
-def _link(radius: int, sure: int, width: int):
-    """For partitions sorted by key: the links a, b found among the rows of each key, and whether they are sure."""
-
-    def of(keys: np.ndarray, raw: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x, y = np.tril_indices(size, -1)
+        step = max(1, 200_000 // len(x))
+        for i in range(0, len(all_rows), step):
+            a, b = (all_rows[i : i + step, side].ravel() for side in (x, y))
+            apart = distance(codes[a], codes[b])
+            near = apart <= radius
+            yield a[near], b[near], apart[near]
+    for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+        order = start + gray_order(codes[start : start + size])
+        for a, b, apart in GrayIndex(codes[order]).lower_neighbours(radius):
+            yield order[a], order[b], apart
+
+
+def _link(radius: int, sure: int, width: int, many: int = 1):
+    """For partitions sorted by key: the links a, b found among the rows of each key, and whether they are sure. Of the unsure links
+    between groups, so many spanning forests; a key that has more of them has a row without a and b.
+
+    Further columns, if there are any: the root of the group that the row is in (or null), and, for a pair that was found to be
+    unlike, the other one of the pair."""
+
+    def of(keys: np.ndarray, raw: np.ndarray, roots: np.ndarray | None, others: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        unlike = np.empty(0, np.int64)
+        if others is not None:
+            pairs = np.array([o is not None for o in others], bool)
+            of_pairs = list(zip(keys[pairs], (bytes(r) for r in raw[pairs]), others[pairs], strict=True))
+            keys, raw, roots = keys[~pairs], np.ascontiguousarray(raw[~pairs]), roots[~pairs]
+        n = len(keys)
+        if not n:
+            return
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        sizes = np.diff(np.append(starts, len(keys)))
-        codes = raw.view(">u8").astype(np.uint64).reshape(len(raw), width // 8)
-        found = list(_small_runs(codes, starts[sizes <= SMALL], sizes[sizes <= SMALL], radius, sure))
-        for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-            a, b, certain = _large_run(codes[start : start + size], radius, sure)
-            found.append((start + a, start + b, certain))
-        if found:
-            a, b, certain = (np.concatenate(x) for x in zip(*found, strict=True))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([*[pa.array(raw[x].reshape(-1, width).view(f"V{width}").ravel().tolist(), pa.binary()) for x in (a, b)], pa.array(certain)], names=["a", "b", "sure"])
+        sizes = np.diff(np.append(starts, n))
+        codes = raw.view(">u8").astype(np.uint64).reshape(n, width // 8)
+        forest = Forest(n)
+        if others is not None:
+            first: dict = {}
+            forest.parent = np.array([i if r is None else first.setdefault((k, r), i) for i, (k, r) in enumerate(zip(keys, roots, strict=True))])
+            if of_pairs:
+                place = {(k, bytes(r)): i for i, (k, r) in enumerate(zip(keys, raw, strict=True))}
+                ends = np.array([(place[k, a], place[k, b]) for k, a, b in of_pairs])
+                unlike = np.unique(ends.max(axis=1) * n + ends.min(axis=1))
+        before = forest.parent.copy()
+        unsure, held, room, more = [], 0, HELD, [np.empty(0, np.int64)]
+
+        def thinned() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            a, b, apart = (np.concatenate(x) for x in zip(*unsure, strict=True))
+            kept, left = forests(a, b, apart, forest.parent, many)
+            more.append(np.unique(np.searchsorted(starts, a[left], "right") - 1))
+            return [(a[kept], b[kept], apart[kept])]
+
+        for a, b, apart in _pairs(codes, starts, sizes, radius):
+            near = apart <= sure
+            forest.join(a[near], b[near])
+            rest = ~near & (forest.parent[a] != forest.parent[b])
+            if len(unlike):
+                rest &= ~np.isin(np.maximum(a, b) * n + np.minimum(a, b), unlike)
+            if rest.any():
+                unsure.append((a[rest], b[rest], apart[rest]))
+                held += int(rest.sum())
+            if held > room:
+                unsure = thinned()
+                held = len(unsure[0][0])
+                room = max(HELD, 2 * held)
+        if unsure:
+            unsure = thinned()
+        moved = np.flatnonzero(forest.parent != before)
+        a = np.concatenate([moved, *[u[0] for u in unsure]])
+        b = np.concatenate([forest.parent[moved], *[u[1] for u in unsure]])
+        more_keys = keys[starts[np.unique(np.concatenate(more))]].tolist()
+        if len(a) or more_keys:
+            ends = [pa.array([*raw[x].reshape(-1, width).view(f"V{width}").ravel().tolist(), *[None] * len(more_keys)], pa.binary()) for x in (a, b)]
+            certain = [*(np.arange(len(a)) < len(moved)).tolist(), *[None] * len(more_keys)]
+            yield pa.RecordBatch.from_arrays([pa.array([*keys[a].tolist(), *more_keys], pa.string()), *ends, pa.array(certain, pa.bool_())], names=["key", "a", "b", "sure"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray | None, ...]] = []
+
+        def whole(parts: list[tuple[np.ndarray | None, ...]]) -> Iterator[pa.RecordBatch]:
+            keys, raw, roots, others = (None if x[0] is None else np.concatenate(x) for x in zip(*parts, strict=True))
+            yield from of(keys, np.ascontiguousarray(raw), roots, others)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.array(batch.column(0).to_pylist(), object)
             raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, width)
+            further = [np.array([*batch.column(i).to_pylist(), None], object)[:-1] if batch.num_columns > i else None for i in (2, 3)]
             last = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if (keys != keys[-1]).any() else 0
+            cut = lambda part: tuple(None if x is None else x[part] for x in (keys, raw, *further))  # noqa: B023, E731
             if last or (held and held[-1][0][-1] != keys[0]):
-                done = [*held, (keys[:last], raw[:last])] if last else held
-                yield from of(np.concatenate([k for k, _ in done]), np.ascontiguousarray(np.concatenate([r for _, r in done])))
+                yield from whole([*held, cut(slice(last))] if last else held)
                 held = []
-            held.append((keys[last:], raw[last:]))
+            held.append(cut(slice(last, None)))
         if held:
-            yield from of(np.concatenate([k for k, _ in held]), np.ascontiguousarray(np.concatenate([r for _, r in held])))
+            yield from whole(held)
 
     return task
 
 
-def links(distinct: DataFrame, bits: int, radius: int, blocks: Blocks, sure: int | None = None) -> DataFrame:
-    """Links a, b between fingerprints (column fp, each once) at most radius bits apart that share a block: a spanning forest of each.
-    The column sure tells those at most sure bits apart (the radius, if none are named)."""
+def by_blocks(distinct: DataFrame, bits: int, radius: int, blocks: Blocks) -> DataFrame:
+    """key, fp: each fingerprint (column fp, each once) under the key of each of its blocks."""
     hexed = F.hex("fp")
     part = lambda positions: F.concat(*[F.substring(hexed, 2 * p + 1, 2) for p in positions])
     keyed = distinct.select("fp", F.explode(F.array(*[F.concat(F.lit(f"{i:x}."), part(p)) for i, p in enumerate(blocks)])).alias("key"))
@@ -178,8 +204,13 @@ def links(distinct: DataFrame, bits: int, radius: int, blocks: Blocks, sure: int
                 finer.append((f"{i:x}.", F.array(*parts)))
             again = F.coalesce(*[F.when(F.col("key").startswith(prefix), parts) for prefix, parts in finer])
             keyed = marked.select("fp", F.explode(F.when(F.col("large").isNull(), F.array("key")).otherwise(again)).alias("key"))
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.select("key", "fp").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link(radius, radius if sure is None else sure, bits // 8), "a binary, b binary, sure boolean")
+    return keyed.select("key", "fp")
+
+
+def linked(keyed: DataFrame, bits: int, radius: int, sure: int, many: int = 1) -> DataFrame:
+    """Links a, b between fingerprints at most radius bits apart that share a key: spanning forests of each, as in _link."""
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link(radius, sure, bits // 8, many), "key string, a binary, b binary, sure boolean")
 
 
 EXACT_BLOCKS: Blocks = ((0, 1), (2, 3), (4, 5), (6, 7))
@@ -198,18 +229,44 @@ def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("fp", text_of().cast("binary").alias("text")).mapInArrow(of, "fp binary, shingles array<bigint>")
 
 
-def confirmed(found: DataFrame, distinct: DataFrame, located: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The sure links, and of the others those whose texts have the similarity (Jaccard of distinct shingles). Only texts of unsure
-    links are read again, once each; a text without shingles is like none."""
-    found = written(found.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.max("sure").alias("sure")), "links")
-    unsure = found.where(~F.col("sure")).select("a", "b")
-    named = unsure.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+def alike(pairs: DataFrame, distinct: DataFrame, located: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs a, b, and whether their texts have the similarity (Jaccard of distinct shingles; a text without shingles is like none).
+    Only texts of these pairs are read again, once each."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     asked = written(named.join(distinct, "fp").select("fp", "least.file_key", "least.row_at"), "asked")
     texts = located.select("file_key", "row_at", "text").join(small_or_not(asked, asked.count(), 200), ["file_key", "row_at"])
     sets = written(shingle_sets(texts, words), "shingles")
     one, other = (sets.select(F.col("fp").alias(end), F.col("shingles").alias(f"of_{end}")) for end in ("a", "b"))
-    shared = unsure.join(one, "a").join(other, "b").select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("n"), (F.size("of_a") + F.size("of_b")).alias("both"))
-    return found.where("sure").select("a", "b").unionByName(shared.where(F.col("n") >= similarity * (F.col("both") - F.col("n"))).where("n > 0").select("a", "b"))
+    shared = pairs.join(one, "a").join(other, "b").select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("n"), (F.size("of_a") + F.size("of_b")).alias("both"))
+    return shared.select("a", "b", ((F.col("n") > 0) & (F.col("n") >= similarity * (F.col("both") - F.col("n")))).alias("alike"))
+
+
+def confirmed(keyed: DataFrame, distinct: DataFrame, located: DataFrame, bits: int, radius: int, sure: int, words: int, similarity: float) -> DataFrame:
+    """node, root as components gives them, over all links of keyed that are sure or whose texts have the similarity.
+
+    In rounds: each key hands on spanning forests of its unsure links, the closest first; those found unlike are put aside, and keys that
+    have more links between groups still apart hand on the next ones, four times as many forests a round, until none is left."""
+    rows, many, good, tried, asked = keyed, 1, None, None, None
+    while True:
+        found = written(linked(rows, bits, radius, sure, many), "links")
+        pairs = found.where("a is not null").select("key", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "sure")
+        certain = pairs.where("sure").select("a", "b")
+        unsure = pairs.where("not sure").select("key", "a", "b")
+        new = unsure.select("a", "b").distinct() if tried is None else unsure.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        judged = written(alike(written(new, "unsure"), distinct, located, words, similarity), "judged")
+        now = certain.unionByName(judged.where("alike").select("a", "b"))
+        good = now if good is None else good.unionByName(now)
+        tried = judged if tried is None else tried.unionByName(judged)
+        asked = unsure if asked is None else asked.unionByName(unsure)
+        roots = components(good)
+        more = written(found.where("a is null").select("key").distinct(), "more")
+        n = more.count()
+        if not n:
+            return roots
+        more, many = small_or_not(more, n, 60), many * 4
+        members = keyed.join(more, "key", "left_semi").join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", "root", F.lit(None).cast("binary").alias("other"))
+        unlike = asked.join(more, "key", "left_semi").join(tried.where("not alike"), ["a", "b"]).select("key", "a", "b").distinct()
+        rows = members.unionByName(unlike.select("key", F.col("a").alias("fp"), F.lit(None).cast("binary").alias("root"), F.col("b").alias("other")))
 
 
 def near_components(rows: DataFrame, words: int = 3, bits: int = 64, radius: int = 3, blocks: Blocks = EXACT_BLOCKS, sure: int | None = None, similarity: float | None = None) -> DataFrame:
@@ -219,8 +276,11 @@ def near_components(rows: DataFrame, words: int = 3, bits: int = 64, radius: int
     located = with_locator(rows, ["doc_id", "text"])
     each = written(fingerprints(located, words, bits, ["doc_id", "file_key", "row_at"], similarity is None), "fingerprints")
     distinct = written(each.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file_key", "row_at")).alias("least")), "distinct")
-    found = links(distinct, bits, radius, blocks, sure)
-    roots = components(found if similarity is None else confirmed(found, distinct, located, words, similarity))
+    keyed = by_blocks(distinct, bits, radius, blocks)
+    if similarity is None:
+        roots = components(linked(keyed, bits, radius, radius).select("a", "b"))
+    else:
+        roots = confirmed(keyed, distinct, located, bits, radius, sure, words, similarity)
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # Written first: the join below then has an exchange on either side, and a root with very many fingerprints can be split.
     least = written(rooted.groupBy("root").agg(F.min("least").alias("first")), "roots")

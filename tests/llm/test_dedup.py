@@ -186,3 +186,16 @@ def test_near_copies_against_brute_force(spark, monkeypatch, small):
     joined = {(i, j) for i in range(len(texts)) for j in range(i) if got[i] == got[j]}
     assert joined <= set(pairs)
     assert len(joined) >= 0.9 * len(pairs)
+
+
+@pytest.mark.parametrize("small", [24, 2])
+def test_unsure_links_follow_where_closer_ones_fail(spark, monkeypatch, small):
+    """A and B are alike; each is closer to C and D, which are like none. A forest of the closest links leaves A-B out."""
+    monkeypatch.setattr(S, "SMALL", small)
+    code = lambda *ranges: np.packbits([any(lo <= i < hi for lo, hi in ranges) for i in range(256)]).tobytes()
+    a, b, c, d = code(), code((16, 56)), code((16, 36), (60, 70)), code((16, 36), (70, 80))
+    true = (max(a, b), min(a, b))
+    monkeypatch.setattr(S, "alike", lambda pairs, *_: pairs.select("a", "b", (F.col("a") == F.lit(true[0])) & (F.col("b") == F.lit(true[1]))).toDF("a", "b", "alike"))
+    keyed = spark.createDataFrame([(k, bytearray(x)) for k in ("0.0000", "1.0000") for x in (a, b, c, d)], "key string, fp binary")
+    got = [(bytes(r["node"]), bytes(r["root"])) for r in S.confirmed(keyed, None, None, 256, 50, 15, 5, 0.8).collect()]
+    assert got == [true]
