@@ -15,6 +15,7 @@ come out as often as they occur; a null doc_id is ignored by the smallest doc_id
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator, Sequence
 
@@ -31,6 +32,8 @@ from .gray_index import Forest, GrayIndex, distance, forests, gray_order
 #: A block with more fingerprints than this is dealt out again by its other bits.
 MOST_IN_BLOCK = 50_000
 SMALL = 24  # runs up to this size are compared directly
+SHORT = 62  # texts of up to so many distinct shingles are brought together by shingles too: any as short as 49, with all that can be 0.8 like it
+SHORT_RADIUS = 104  # of 256 bits; of pairs of short texts at 0.8 a bit differs with a chance of 3 in 16 at most, so that 2 in 10**16 are further apart
 HELD = 2_000_000  # unsure links of a run in memory; beyond it they are thinned to a spanning forest
 
 Blocks = Sequence[tuple[int, ...]]  # byte positions of each block
@@ -66,7 +69,7 @@ def fingerprint(hashes: np.ndarray, words64: int = 1) -> bytes:
 
 
 def fingerprints(rows: DataFrame, words: int, bits: int, keep: Sequence[str], repeats: bool = True) -> DataFrame:
-    """The columns keep, and fp (binary) of the column text's shingles, repeats included or not."""
+    """The columns keep, and fp (binary) of the column text's shingles, repeats included or not; if not, also n, how many they are."""
     fields = [f for f in rows.schema.fields if f.name in keep]
     names = [f.name for f in fields]
 
@@ -74,10 +77,11 @@ def fingerprints(rows: DataFrame, words: int, bits: int, keep: Sequence[str], re
         for batch in batches:
             texts = batch.column(len(names)).to_pylist()
             hashes = (shingle_hashes(t, words) for t in texts)
-            fps = pa.array([fingerprint(h if repeats else np.unique(h), bits // 64) for h in hashes], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fps], names=[*names, "fp"])
+            found = [(fingerprint(h, bits // 64), len(h)) for h in (h if repeats else np.unique(h) for h in hashes)]
+            columns = [pa.array([fp for fp, _ in found], pa.binary()), *([] if repeats else [pa.array([n for _, n in found], pa.int32())])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*names, *["fp", "n"][: len(columns)]])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", fp binary"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", fp binary" + ("" if repeats else ", n int")
     return rows.select(*names, text_of().cast("binary").alias("text")).mapInArrow(of, schema)
 
 
@@ -134,7 +138,9 @@ def _link(radius: int, sure: int, width: int, many: int = 1):
             more.append(np.unique(np.searchsorted(starts, a[left], "right") - 1))
             return [(a[kept], b[kept], apart[kept])]
 
-        for a, b, apart in _pairs(codes, starts, sizes, radius):
+        short = np.array([k.startswith("s") for k in keys[starts]], bool)
+        found = (_pairs(codes, starts[part], sizes[part], most) for part, most in ((~short, radius), (short, SHORT_RADIUS)))
+        for a, b, apart in itertools.chain.from_iterable(found):
             near = apart <= sure
             forest.join(a[near], b[near])
             rest = ~near & (forest.parent[a] != forest.parent[b])
@@ -229,6 +235,19 @@ def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("fp", text_of().cast("binary").alias("text")).mapInArrow(of, "fp binary, shingles array<bigint>")
 
 
+def by_shingles(distinct: DataFrame, located: DataFrame, words: int, similarity: float) -> DataFrame:
+    """key, fp: each short text under the keys of its rarest shingles, so many that texts of the similarity have one in common."""
+    asked = written(distinct.where(F.col("n").between(1, SHORT)).select("fp", "least.file_key", "least.row_at"), "short")
+    texts = located.select("file_key", "row_at", "text").join(small_or_not(asked, asked.count(), 200), ["file_key", "row_at"])
+    each = written(shingle_sets(texts, words), "short_sets").select("fp", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    shared = written(each.groupBy("shingle").count().where("count > 1"), "shared")
+    ranked = each.join(small_or_not(shared, shared.count(), 16), "shingle").groupBy("fp").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("count", "shingle"))).alias("of"))
+    # Of n shingles the first n - ceil(similarity x n) + 1; those that no other text has come before all others and bring nothing together.
+    first = (F.size("of") - F.ceil(similarity * F.col("n") - 1e-9) + 1).cast("int")
+    keys = ranked.withColumn("first", first).where("first > 0").select("fp", F.explode(F.slice("of", 1, F.col("first"))).alias("at"))
+    return written(keys.select(F.concat(F.lit("s."), F.hex("at.shingle")).alias("key"), "fp"), "by_shingles")
+
+
 def alike(pairs: DataFrame, distinct: DataFrame, located: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs a, b, and whether their texts have the similarity (Jaccard of distinct shingles; a text without shingles is like none).
     Only texts of these pairs are read again, once each."""
@@ -275,11 +294,12 @@ def near_components(rows: DataFrame, words: int = 3, bits: int = 64, radius: int
     With a similarity, fingerprints are of distinct shingles, and links of more than sure bits must have it."""
     located = with_locator(rows, ["doc_id", "text"])
     each = written(fingerprints(located, words, bits, ["doc_id", "file_key", "row_at"], similarity is None), "fingerprints")
-    distinct = written(each.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file_key", "row_at")).alias("least")), "distinct")
+    distinct = written(each.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file_key", "row_at")).alias("least"), *([] if similarity is None else [F.max("n").alias("n")])), "distinct")
     keyed = by_blocks(distinct, bits, radius, blocks)
     if similarity is None:
         roots = components(linked(keyed, bits, radius, radius).select("a", "b"))
     else:
+        keyed = keyed.unionByName(by_shingles(distinct, located, words, similarity))
         roots = confirmed(keyed, distinct, located, bits, radius, sure, words, similarity)
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # Written first: the join below then has an exchange on either side, and a root with very many fingerprints can be split.
@@ -299,7 +319,8 @@ def radius_for(jaccard: float, bits: int, deviations: float) -> int:
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 256) -> DataFrame:
     """near_components at a similarity of five-word shingles. Such texts differ in more bits than can be blocked exactly: two bytes each,
-    every byte with its next and its fifth next, bring together some 97 in 100 pairs of a similarity of 0.8 and nearly all from 0.85 on.
+    every byte with its next and its fifth next, bring together some 97 in 100 pairs of long texts of a similarity of 0.8 and nearly all from 0.85 on. In short texts bits are ties too often
+for that: those of up to SHORT shingles are brought together by shared shingles as well, which loses none.
     Distances up to two deviations above that of the similarity are looked at; those over 2.3 deviations below it are sure."""
     n = bits // 8
     blocks = [(i, (i + step) % n) for step in (1, 5) for i in range(n)]

@@ -199,3 +199,15 @@ def test_unsure_links_follow_where_closer_ones_fail(spark, monkeypatch, small):
     keyed = spark.createDataFrame([(k, bytearray(x)) for k in ("0.0000", "1.0000") for x in (a, b, c, d)], "key string, fp binary")
     got = [(bytes(r["node"]), bytes(r["root"])) for r in S.confirmed(keyed, None, None, 256, 50, 15, 5, 0.8).collect()]
     assert got == [true]
+
+
+def test_short_near_copies_lose_none(spark):
+    """Of 8 words against 9 (4 shingles of 5), and 12 shingles of 15: fingerprints alone bring some 59 and 88 in 100 together."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for shingles, more in ((4, 1), (12, 3), (5, 1)):
+        for _ in range(60):
+            words = [f"w{i}" for i in rng.integers(0, 50_000, shingles + 4 + more)]
+            texts += [" ".join(words[: shingles + 4]), " ".join(words)]
+    got = S.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).toPandas().set_index("doc_id")["component_id"]
+    assert [i for i in range(len(texts)) if got[i] != i - i % 2] == []
