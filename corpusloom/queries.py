@@ -373,6 +373,13 @@ def bfs_frontier(spark, sf_dir):
     return edges.select("dst").distinct().join(canonical(spark, sf_dir).select(F.col("url").alias("dst")), "dst", "left_anti")
 
 
+@query()
+def bfs_next_level(spark, sf_dir):
+    """What one level from all pages adds to the frontier: targets of their links that are no page."""
+    edges = CR.edges(pages(spark, sf_dir).select("url", "html"), CONFIG)
+    return edges.select("dst").distinct().join(canonical(spark, sf_dir).select(F.col("url").alias("dst")), "dst", "left_anti")
+
+
 @query("SELECT 'u' || (page_id % 40) AS url, arg_min('e' || page_id, page_id) AS first_etag, arg_max('e' || page_id, page_id) AS last_etag FROM pages GROUP BY ALL")
 def resume_cache(spark, sf_dir):
     rows = pages(spark, sf_dir).select(F.concat(F.lit("u"), F.col("page_id") % 40).alias("url"), F.concat(F.lit("e"), F.col("page_id")).alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("string").alias("content_hash"), F.col("page_id").alias("ordinal"))

@@ -40,3 +40,13 @@ def test_whole_runs_have_no_page_limit(spark):
     assert (limited["note"] == "max_pages_limit").any() and len(rows) == len(limited)
     assert (rows["status"] == "ok").sum() > 100 >= (limited["status"] == "ok").sum()
     assert not any("LIMIT 100)," in q.SQL[n].split("unique_ AS")[1] for n in q.SQL if n.endswith("_whole"))
+
+
+def test_next_level_is_of_all_pages(spark, sf_dir):
+    got = {r["dst"] for r in q.QUERIES["bfs_next_level"](spark, sf_dir).collect()}
+    one = {r["dst"] for r in q.bfs_frontier(spark, sf_dir).collect()}
+    known = {r["url"] for r in q.canonical(spark, sf_dir).collect()}
+    plain = {r["dst"] for r in q.links(spark, sf_dir).collect() if "?" not in r["dst"]}
+    print(len(one), len(got), len(plain))
+    assert one <= got and len(got) > len(one) and not got & known
+    assert plain - known <= got
