@@ -192,3 +192,12 @@ def test_command_line(spark, tmp_path):
     report = json.loads((tmp_path / "out/_report/report.json").read_text())
     assert report["ok"] == 1 and (tmp_path / "out/_report/toc.md").exists() and "<table>" in (tmp_path / "out/_report/report.html").read_text()
     assert main(["https://e.com", "--urls", str(tmp_path / "urls"), "--out", out, "--scope-prefix", "/none"]) == 2
+
+
+def test_html_after_much_white_space(spark):
+    from pyspark.sql import functions as F
+
+    from corpusloom.functions.content import is_probable_html
+
+    rows = spark.createDataFrame([(" " * 395 + "\n" * 200 + "<!DOCTYPE html><html>",), (" " * 500 + "text",)], "body string")
+    assert [r[0] for r in rows.select(is_probable_html(F.lit("text/plain"), F.col("body"))).collect()] == [True, False]
