@@ -2,7 +2,8 @@
 
 Codes are sorted by Gray rank, so that neighbours share most bits. Sixteen at a time get a parent that holds the bits in which
 they all agree (mask and pattern); a child keeps only the bits its parents don't have. A search walks down from the top, adds
-up the differences over the masks and drops a node, with all below it, once the sum passes the radius."""
+up the differences over the masks and drops a node, with all below it, once the sum passes the radius. One index can hold many
+runs of codes, one after another, that are only compared among themselves."""
 
 from __future__ import annotations
 
@@ -34,32 +35,43 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    def __init__(self, codes: np.ndarray):
-        """codes: (n, words) in Gray order."""
+    def __init__(self, codes: np.ndarray, runs: np.ndarray | None = None):
+        """codes: (n, words); runs: a number for each, rising. Codes stand in Gray order within each run, and only codes of one run are
+        neighbours: a node knows the last run below it, and is dropped for queries of a later one."""
         full = np.full_like(codes, ~np.uint64(0))
-        levels = [(codes, full)]
+        runs = np.zeros(len(codes), np.int64) if runs is None else runs
+        levels, last = [(codes, full)], [runs]
         while len(levels[-1][0]) > FAN:
             pattern, mask = levels[-1]
             starts = np.arange(0, len(pattern), FAN)
             alike = np.bitwise_and.reduceat(mask, starts) & ~(np.bitwise_or.reduceat(pattern, starts) ^ np.bitwise_and.reduceat(pattern, starts))
             levels.append((np.bitwise_and.reduceat(pattern, starts) & alike, alike))
+            last.append(np.maximum.reduceat(last[-1], starts))
+        self.runs, self.last = runs, last
         self.sizes = [len(p) for p, _ in levels]
         self.patterns = [p for p, _ in levels]
         self.masks = [m & ~np.repeat(levels[k + 1][1], FAN, axis=0)[: len(m)] if k + 1 < len(levels) else m for k, (_, m) in enumerate(levels)]
 
-    def lower_neighbours(self, radius: int, room: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Blocks of pairs (i, j), j < i, of all codes at most radius apart, and their distances. A block of queries meets at most about room candidates a level."""
-        codes, top = self.patterns[0], len(self.sizes) - 1
-        step = max(1, min(2048, room // max(self.sizes[0], 1)))
-        for start in range(0, len(codes), step):
-            asked = np.arange(start, min(start + step, len(codes)))
+    def lower_neighbours(self, radius: int | np.ndarray, room: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Blocks of pairs (i, j), j < i, of all codes of one run at most radius apart (one for all, or one for each code), and their
+        distances. A block of queries meets at most about room candidates a level, or is a single query."""
+        codes, top, n = self.patterns[0], len(self.sizes) - 1, self.sizes[0]
+        radius = np.broadcast_to(np.asarray(radius, np.int64), n)
+        fresh = np.flatnonzero(np.diff(self.runs, prepend=self.runs[:1] - 1))
+        ahead_of = np.arange(n) - np.repeat(fresh, np.diff(np.append(fresh, n)))
+        met = np.cumsum(ahead_of + FAN * (top + 1))
+        start = 0
+        while start < n:
+            end = max(start + 1, int(np.searchsorted(met, (met[start - 1] if start else 0) + room, "right")))
+            asked, start = np.arange(start, end), end
             q, node = np.repeat(asked, self.sizes[top]), np.tile(np.arange(self.sizes[top]), len(asked))
             sum_ = np.zeros(len(q), np.int64)
             for level in range(top, -1, -1):
-                ahead = node * FAN**level < q  # else all codes below stand at or after the query
-                q, node, sum_ = q[ahead], node[ahead], sum_[ahead]
+                # Dropped: nodes whose codes stand at or after the query, or are all of runs before its own.
+                there = (node * FAN**level < q) & (self.last[level][node] >= self.runs[q])
+                q, node, sum_ = q[there], node[there], sum_[there]
                 sum_ = sum_ + np.bitwise_count((codes[q] ^ self.patterns[level][node]) & self.masks[level][node]).sum(axis=1, dtype=np.int64)
-                near = sum_ <= radius
+                near = sum_ <= radius[q]
                 q, node, sum_ = q[near], node[near], sum_[near]
                 if level:
                     children = (node[:, None] * FAN + np.arange(FAN)).ravel()
