@@ -1,12 +1,15 @@
 """Quality by nearest-neighbour voting in a latent-semantic space (operator 3).
 
-A bounded sample of labelled documents gives a term matrix (hashed words and marks, square-rooted shares, inverse document
-frequency) and by a truncated singular value decomposition a latent space. The labelled vectors are broadcast; every document
+A bounded sample of labelled documents gives a term matrix and by a truncated singular value decomposition a latent space. Terms are
+the words as they stand, hashed, and how far back each word last stood (a power of two, or never); their shares are square-rooted and
+weighted by inverse document frequency. The labelled vectors are broadcast; every document
 is projected, its cosine with all of them is computed in exact blocks, and its nearest neighbours vote with their labels,
 weighted by similarity and by how many labelled rows of the class each stands for.
 
 Defined results: a null text counts as empty; a text without terms gets the share of label 1; without any usable label every
-score is 1; repeated labels of a doc_id count once (the largest); a null doc_id is held out; an empty table gives no rows.
+score is 1; repeated labels of a doc_id count once (the largest); a null doc_id is held out; an empty table gives no rows; repeated rows
+get equal scores; of labelled documents with one doc_id all texts are learnt from, those of least hash first where the sample is full;
+whole texts are read, however long; columns besides doc_id and text are not read by the model.
 """
 
 from __future__ import annotations
@@ -26,28 +29,26 @@ from pyspark.sql import types as T
 
 from .common import fresh, text_of
 
-TERMS = 4096  # hashed terms; the last four are marks of style
-REPEATED, SHOUTED, DECORATED, JOINED = range(TERMS - 4, TERMS)
+WORDS, BACK = 4096, 24  # hashed words, and distances back to a word's last place
+TERMS = WORDS + BACK
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BLOCK = 512  # documents in one product
 
 
 def term_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Term numbers and square-rooted shares of one whole text."""
+    """Term numbers and square-rooted shares of one whole text: of all words, and of all distances."""
     tokens = TOKEN.findall(text)
     if not tokens:
         return np.empty(0, np.int32), np.empty(0, np.float32)
-    counts: dict[int, float] = Counter()
-    crc = zlib.crc32
+    counts: dict[int, int] = {}
+    crc, last, back = zlib.crc32, {}, [0] * BACK
     for token, n in Counter(tokens).items():
-        counts[crc(token.lower().encode()) % (TERMS - 4)] += n
-        if token.isupper() and len(token) > 1:
-            counts[SHOUTED] += n
-        elif len(token) > 1 and not token[0].isalnum() and token[0] != "_":
-            counts[DECORATED] += n
-        elif token in ("|", "=", "#", "*"):
-            counts[JOINED] += n
-    counts[REPEATED] = sum(map(str.__eq__, tokens, tokens[1:]))
+        term = crc(token.encode()) % WORDS
+        counts[term] = counts.get(term, 0) + n
+    for i, token in enumerate(tokens):
+        back[min((i - last[token]).bit_length(), BACK - 1) if token in last else 0] += 1
+        last[token] = i
+    counts |= {WORDS + d: n for d, n in enumerate(back) if n}
     terms = np.fromiter(counts.keys(), np.int32, len(counts))
     return terms, np.sqrt(np.fromiter(counts.values(), np.float32, len(counts)) / len(tokens))
 
@@ -94,17 +95,28 @@ def held_out(doc_id: Column) -> Column:
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         found = [term_counts(t) for t in rows["text"]]
-        yield pd.DataFrame({"quality": rows["quality"], "doc_id": rows["doc_id"], "terms": [t for t, _ in found], "shares": [s for _, s in found]})
+        yield pd.DataFrame({"quality": rows["quality"], "doc_id": rows["doc_id"], "text_hash": rows["text_hash"], "terms": [t for t, _ in found], "shares": [s for _, s in found]})
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, latent: int = 64, neighbours: int = 25, sharpness: int = 8) -> Model:
+def latent_axes(x: np.ndarray, latent: int) -> np.ndarray:
+    """The first right singular vectors of x as columns, by subspace iteration from a fixed start."""
+    latent = min(latent, *x.shape)
+    y = x @ np.random.default_rng(7).standard_normal((x.shape[1], min(latent + 16, x.shape[1]))).astype(np.float32)
+    for _ in range(3):
+        y = x @ np.linalg.qr(x.T @ np.linalg.qr(y)[0])[0]
+    q = np.linalg.qr(y)[0]
+    return np.linalg.svd(q.T @ x, full_matrices=False)[2][:latent].T
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, latent: int = 64, neighbours: int = 15, sharpness: int = 16) -> Model:
     """Learns from at most per_class labelled documents of each label (those of least hash), none of them held out."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).where(~held_out(F.col("doc_id")))
     totals = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
     sample = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     chosen = F.broadcast(sample[0].unionByName(sample[1]))  # at most 2 x per_class rows
-    joined = docs.select("doc_id", text_of().alias("text")).join(chosen, "doc_id").select("quality", "doc_id", "text")
-    rows = joined.mapInPandas(_features, "quality int, doc_id bigint, terms array<int>, shares array<float>").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class).collect()
+    joined = docs.select("doc_id", text_of().alias("text")).join(chosen, "doc_id").select("quality", "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    found = joined.mapInPandas(_features, "quality int, doc_id bigint, text_hash bigint, terms array<int>, shares array<float>")
+    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(2 * per_class).collect()
     if not rows:
         return Model(np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros((0, 2)), 1.0, neighbours, sharpness)
     x = np.zeros((len(rows), TERMS), np.float32)
@@ -112,12 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, latent: int =
         x[i, r["terms"]] = r["shares"]
     idf = np.log((1 + len(rows)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
     x *= idf
-    latent = min(latent, *x.shape)
-    y = x @ np.random.default_rng(7).standard_normal((TERMS, min(latent + 16, TERMS))).astype(np.float32)
-    for _ in range(3):  # subspace iteration
-        y = x @ np.linalg.qr(x.T @ np.linalg.qr(y)[0])[0]
-    q = np.linalg.qr(y)[0]
-    axes = np.linalg.svd(q.T @ x, full_matrices=False)[2][:latent].T
+    axes = latent_axes(x, latent)
     quality = np.array([r["quality"] for r in rows])
     counts = {c: max(1, int((quality == c).sum())) for c in (0, 1)}
     stands_for = np.array([totals.get(c, 0) / counts[c] for c in (0, 1)])

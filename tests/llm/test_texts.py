@@ -37,10 +37,41 @@ def test_op3_cosines_are_exact(spark, docs, sf_dir):
     for text_vector, score in zip(z, model.scores(texts), strict=True):
         near = model.vectors @ text_vector
         top = np.argsort(-near, kind="stable")[:5]
-        w = np.clip(near[top], 0, 1).astype(float) ** 8
+        w = np.clip(near[top], 0, 1).astype(float) ** model.sharpness
         assert score == pytest.approx((w * model.votes[top, 1]).sum() / (w * model.votes[top].sum(axis=1)).sum(), abs=1e-3)
 
 
+def test_op3_axes_are_those_of_a_dense_decomposition(spark, docs, sf_dir):
+    """On a small sample the fitted space holds what the first singular vectors of a dense decomposition hold."""
+    rng = np.random.default_rng(1)
+    x = (rng.standard_normal((60, 12)) * 2.0 ** -np.arange(12)) @ rng.standard_normal((12, 300)) + 1e-3 * rng.standard_normal((60, 300))
+    want = np.linalg.svd(x.astype(np.float64), full_matrices=False)[2][:6].T
+    got = Q.latent_axes(x.astype(np.float32), 6)
+    assert np.allclose(np.linalg.svd(want.T @ got, compute_uv=False), 1, atol=1e-3)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    a, b = (Q.fit(d, labels, per_class=20, latent=8) for d in (docs, docs.unionByName(docs.limit(0)).repartition(3)))
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(40).collect()]
+    assert np.allclose(a.scores(texts), b.scores(texts), atol=1e-6)
+
+
+def test_op3_terms_of_brute_force():
+    text = "The cat, the Cat, the cat the the"
+    tokens = ["The", "cat", ",", "the", "Cat", ",", "the", "cat", "the", "the"]
+    terms, shares = Q.term_counts(text)
+    back = [0, 0, 0, 0, 0, 3, 3, 6, 2, 1]  # 0: never before
+    got = dict(zip(terms.tolist(), (shares.astype(float) ** 2 * len(tokens)).round(4).tolist(), strict=True))
+    assert {t - Q.WORDS: n for t, n in got.items() if t >= Q.WORDS} == {0: 5, 2: 3, 3: 1, 1: 1} and sum(b == 0 for b in back) == 5
+    assert sum(n for t, n in got.items() if t < Q.WORDS) == len(tokens)
+    assert len(Q.term_counts(" \n")[0]) == 0
+
+
+def test_op3_repeated_ids_are_determined(spark):
+    rows = [(i % 7, f"text {i} " * (i % 5)) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(7)], "doc_id bigint, quality int, toxic int")
+    one, other = (Q.fit(spark.createDataFrame(r, "doc_id bigint, text string").repartition(3), labels, per_class=4) for r in (rows, rows[::-1]))
+    assert np.allclose(one.scores([t for _, t in rows]), other.scores([t for _, t in rows]), atol=1e-6)
+
+
 def test_op3_edges(spark, edge, nothing):
     labels = spark.createDataFrame([(1, 1, None), (5, 0, None), (None, 1, None), (9, None, 0), (9, 1, 0), (9, 0, 0), (99, 1, 1)], "doc_id bigint, quality int, toxic int")
     for table in (labels, labels.limit(0)):
