@@ -232,7 +232,83 @@ def test_op9_edges(spark):
     assert UF.judged(spark.createDataFrame([], schema)).collect() == []
 
 
-def test_op9_shrinks(spark):
-    rows = [("good.com", 0)] * 200 + [("bad.com", 1)] * 60 + [("new.com", 1)] + [(f"h{i}.org", int(i % 9 == 0)) for i in range(90)]
-    got = {r["host"]: r for r in UF.reputations(spark.createDataFrame(rows, "host string, bad int")).collect()}
-    assert got["bad.com"]["lower"] > 0.5 > got["new.com"]["lower"] and got["new.com"]["rate"] < 1 and got["good.com"]["rate"] < 0.1
+def test_op9_beta_mass():
+    """Against a fine numeric integration, over angles."""
+    x = (np.arange(400_000) + 0.5) * np.pi / 800_000
+    for a, b in ((0.7, 0.9), (1, 1), (3.5, 20), (40, 3), (200, 800), (5000, 400)):
+        f = (2 * a - 1) * np.log(np.sin(x)) + (2 * b - 1) * np.log(np.cos(x))
+        f = np.exp(f - f.max())
+        for at in (0.05, 0.2, 0.5, 0.93):
+            assert UF.beta_below(np.array([a]), np.array([b]), at)[0] == pytest.approx(f[np.sin(x) ** 2 <= at].sum() / f.sum(), abs=1e-4)
+
+
+def test_op9_domains(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.example.com": ("example.com", "com"), "com": ("com", "com"), "1.2.3.4": ("1.2.3.4", "1.2.3.4"), "u@h.org:80": ("h.org", "org"), "[::1]:8": ("[::1]", "[::1]")}
+    got = {r["host"]: (r["domain"], r["suffix"]) for r in UF.with_site(spark.createDataFrame([(h,) for h in hosts], "host string")).collect()}
+    assert got == hosts
+
+
+def brute_above(outcomes, tolerated=UF.TOLERATED):
+    """Posterior mass above the tolerated share of each host x.domain.suffix, each level counted without the one below it."""
+    import collections
+    import math
+
+    n, b, hosts = collections.Counter(), collections.Counter(), sorted({h for h, _ in outcomes})
+    for host, bad in outcomes:
+        for level in (host, ".".join(host.split(".")[-2:]) + "/d", host.split(".")[-1] + "/s", "all"):
+            n[level] += 1
+            b[level] += bad
+    up_of = {h: (h, ".".join(h.split(".")[-2:]) + "/d", h.split(".")[-1] + "/s", "all") for h in hosts}
+
+    def strength(low):
+        """Of level low (0: hosts) below level low + 1."""
+        units = {(up_of[h][low], up_of[h][low + 1]) for h in hosts}
+        w = m = v = 0.0
+        for up in {u for _, u in units}:
+            below = [x for x, u in units if u == up]
+            r = (b[up] + 0.5) / (n[up] + 1)
+            weight = n[up] - sum(n[x] ** 2 for x in below) / n[up]
+            w, m = w + weight, m + weight * r * (1 - r)
+            v += sum(n[x] * (b[x] / n[x] - b[up] / n[up]) ** 2 for x in below) - (len(below) - 1) * r * (1 - r)
+        return min(max(m / max(v, 1e-6 * w) - 1, 1), 100) if w > 1e-9 else 1
+
+    ks, out = [strength(2), strength(1), strength(0)], {}
+    for h in hosts:
+        rate, levels = (b["all"] + 0.5) / (n["all"] + 1), up_of[h][::-1]
+        for k, up, low in zip(ks, levels, levels[1:], strict=False):
+            rate = (b[up] - b[low] + k * rate) / (n[up] - n[low] + k)
+        a, z = b[h] + k * rate, n[h] - b[h] + k * (1 - rate)
+        x = (np.arange(100_000) + 0.5) * math.pi / 200_000
+        f = np.exp((2 * a - 1) * np.log(np.sin(x)) + (2 * z - 1) * np.log(np.cos(x)) + math.lgamma(a + z) - math.lgamma(a) - math.lgamma(z)) * math.pi / 100_000
+        above = np.sin(x) ** 2 > tolerated  # summed on the side where the density is smooth
+        out[h] = f[above].sum() if a < z else 1 - f[~above].sum()
+    return out
+
+
+def test_op9_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"h{i}.d{i % 5}.{'com' if i % 2 else 'org'}", int(rng.random() < (0.6 if i % 5 == 1 else 0.05))) for i in range(40) for _ in range(int(rng.integers(1, 30)))]
+    got = {r["site"]: r["above"] for r in UF.reputations(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    want = brute_above(rows)
+    assert got.keys() == want.keys() and max(abs(got[h] - want[h]) for h in want) < 2e-3
+
+
+def test_op9_reputation_changes_verdicts_both_ways(spark):
+    """Verdicts follow what pages hold, not what hosts are called: a single bad page on a clean domain is forgiven, a single clean page on a bad domain
+    isn't, and many pages of its own free a site again."""
+    bad, good = "<p>WIN!! now", "<p>fine"
+    rows = [(f"http://s{i}.bad.com/{j}", bad if (i + j) % 5 < 3 else good) for i in range(40) for j in range(15)] + [("http://new.bad.com/1", good)] + [(f"http://large.bad.com/{j}", good) for j in range(60)]
+    rows += [(f"http://s{i}.good.com/{j}", good) for i in range(12) for j in range(15)] + [("http://new.good.com/1", bad), ("http://casino-spam.good.com/1", good)]
+    rows += [(f"http://h{i}.d{i}.org/{j}", bad if (i + j) % 9 == 0 else good) for i in range(40) for j in range(9)]
+    got = {r["host"]: r["verdict"] for r in UF.judged(spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id bigint, url string, html string"), rules=[]).collect()}
+    assert (got["s1.bad.com"], got["new.bad.com"], got["large.bad.com"]) == ("block", "block", "allow")
+    assert (got["s1.good.com"], got["new.good.com"], got["casino-spam.good.com"]) == ("allow", "allow", "allow")
+    assert all(v == "allow" for h, v in got.items() if h.endswith(".org"))
+
+
+def test_op9_repeated_rows_ties_and_long_urls(spark):
+    long = "http://h.com/" + "a/" * 200_000 + "?q#f"
+    rows = [(1, long, None), (1, long, None), (2, "http://x.example.net/en/", "!!" * 100_000), (3, "http://example.net/en/", "")]
+    got = UF.judged(spark.createDataFrame(rows, "page_id bigint, url string, html string"), rules=[*UF.RULES, ("block", "example.net", "/en/")]).collect()
+    assert sorted(r["page_id"] for r in got) == [1, 1, 2, 3] and {r["verdict"] for r in got if r["page_id"] > 1} == {"block"}
+    assert {len(r["path"]) for r in got if r["page_id"] == 1} == {400_001}
