@@ -1,13 +1,15 @@
 """License scans by phrases and by an exact set-similarity join (operator 5). DataFrame and SQL functions only.
 
 Base labels are places where a phrase's words stand consecutively. The join finds every text block (64 words, from every
-32nd word on, so that any 32 consecutive words stand in one) that holds at least THRESHOLD of a template's distinct words: template
-words are ordered by how many documents hold them, rarest first; a block must hold one of the template's first
-n - ceil(THRESHOLD n) + 1 words (prefix filter), have enough words (length filter), and have its first hit so early in the order
-that enough words are left (positional filter); what remains is counted exactly.
-
-Defined results: a null text counts as empty (no words, no places, score 0); repeated rows come out as often as they occur; an
-empty table gives no rows; only doc_id and text are read.
+32nd word on, so that any 32 consecutive words stand in one) that holds at least THRESHOLD of a template's distinct words. All words
+of templates are ordered by how many documents hold them, rarest first, and template and block are both read in that order (a block's
+other words can't be shared and are left out). A block must hold one of the template's first n - ceil(THRESHOLD n) + 1 words (prefix
+filter) and enough words at all (length filter); from the first word that both hold, enough must be left on either side (positional
+filter); what remains is counted exactly. A label is given only where the words that name its licence are in the block.
+
+Defined results: a null text counts as empty (no words, no places, score 0); repeated rows come out as often as they occur; words
+that equally many documents hold go by their letters; whole texts are read, however long; an empty table gives no rows; only doc_id
+and text are read.
 """
 
 from __future__ import annotations
@@ -24,18 +26,18 @@ from .winnow import let
 #: Phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Sentences of public licences, at most 32 words each, and their labels.
+#: Labels, sentences of public licences (at most 32 words each), and the words among them that name the licence.
 TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "released under the mit license"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("all-rights-reserved", "all rights reserved"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission hereby granted"),
+    ("mit", "released under the mit license", "mit license"),
+    ("apache-2", "licensed under the apache license version 2 0", "apache 2"),
+    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "compliance license"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution binary"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
+    ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu public 3"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu public"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public 2"),
+    ("all-rights-reserved", "all rights reserved", "all rights reserved"),
 ]
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.8
@@ -65,48 +67,69 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def template_index(counts: dict[str, int], templates: list[tuple[str, str]], threshold: float) -> list[tuple]:
-    """(word, template number, label, place in the order, distinct words, words needed) of every template's prefix words."""
+Template = tuple[str, str, str]
+
+
+def in_order(words: str, order: list[str]) -> list[int]:
+    """Places of the distinct words in the order, from 1, rising."""
+    return sorted(order.index(w) + 1 for w in set(words.split()))
+
+
+def template_index(order: list[str], templates: list[Template], threshold: float) -> list[tuple[int, int, int, int, int]]:
+    """(word's place in the order, template number, place in the template, distinct words, words needed) of every template's prefix words."""
     out = []
-    for t, (label, text) in enumerate(templates):
-        ordered = sorted(set(text.split()), key=lambda w: (counts.get(w, 0), w))
-        need = needed(len(ordered), threshold)
-        out += [(w, t, label, i, len(ordered), need) for i, w in enumerate(ordered[: len(ordered) - need + 1])]
+    for t, (_, text, _) in enumerate(templates):
+        ranks = in_order(text, order)
+        need = needed(len(ranks), threshold)
+        out += [(r, t, i, len(ranks), need) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
     return out
 
 
-def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def candidates(blocks: DataFrame, index: DataFrame) -> DataFrame:
+    """blocks: file_key, row_at, at, ranks (places of a block's template words in the order, rising). One row for each block and template that share a prefix word,
+    with long_enough (length filter) and bound: how many words they can share at most, counted from the first word that both hold (positional filter)."""
+    hits = blocks.select("*", F.posexplode("ranks").alias("j", "rank")).join(index, "rank")
+    first = hits.groupBy("file_key", "row_at", "at", "template", "size", "need").agg(F.min(F.struct("j", "i")).alias("hit"), F.any_value("ranks").alias("ranks"))
+    left = F.least(F.col("size") - F.col("hit.i"), F.size("ranks") - F.col("hit.j"))
+    return first.select("file_key", "row_at", "at", "template", "size", "need", "ranks", (F.size("ranks") >= F.col("need")).alias("long_enough"), left.alias("bound"))
+
+
+def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[Template] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
     rows = with_locator(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"), "file_key", "row_at")
 
     # The order: in how many documents each template word occurs. At most as many rows as the templates have words.
-    vocabulary = sorted({w for _, t in templates for w in t.split()})
+    vocabulary = sorted({w for _, t, _ in templates for w in t.split()})
     held = rows.select(F.explode(F.array_intersect(words_of(F.col("text")), F.array(*map(F.lit, vocabulary)))).alias("word"))
     counts = {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}
-    index_rows = template_index(counts, templates, threshold)
-    index = F.broadcast(spark.createDataFrame(index_rows, "word string, template int, label string, place int, size int, need int"))
-    prefix = F.array(*[F.lit(w) for w in sorted({r[0] for r in index_rows})])
+    order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
+    index_rows = template_index(order, templates, threshold)
+    index = F.broadcast(spark.createDataFrame(index_rows, "rank bigint, template int, i int, size int, need int"))
+    prefix, ordered = F.array(*[F.lit(order[r - 1]) for r in sorted({r for r, *_ in index_rows})]), F.array(*map(F.lit, order))
 
     def of_words(words: Column) -> Column:
         joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
         found = {p: F.when(joined.contains(f" {p} "), places(words, p)).otherwise(F.array().cast("array<int>")) for p in phrases}
         some = lambda s: F.slice(words, s + 1, BLOCK)
         starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(STEP))
-        blocks = F.filter(F.transform(starts, lambda s: F.struct(s.alias("at"), F.array_distinct(some(s)).alias("tokens"))), lambda b: F.arrays_overlap(b["tokens"], prefix))
+        tokens = F.transform(starts, lambda s: F.struct(s.alias("at"), F.array_distinct(some(s)).alias("tokens")))
+        ranks = lambda tokens: F.array_sort(F.filter(F.transform(tokens, lambda t: F.array_position(ordered, t)), lambda r: r > 0))
+        blocks = F.transform(F.filter(tokens, lambda b: F.arrays_overlap(b["tokens"], prefix)), lambda b: F.struct(b["at"].alias("at"), ranks(b["tokens"]).alias("ranks")))
         return F.struct(
             F.size(words).cast("bigint").alias("n_words"),
             F.array(*[F.struct(F.lit(label).alias("label"), found[p].alias("at")) for p, label in phrases.items()]).alias("base"),
-            F.when(F.arrays_overlap(words, prefix), blocks).otherwise(F.array().cast("array<struct<at:int,tokens:array<string>>>")).alias("blocks"),
+            F.when(F.arrays_overlap(words, prefix), blocks).otherwise(F.array().cast("array<struct<at:int,ranks:array<bigint>>>")).alias("blocks"),
         )
 
     read = written(rows.select("doc_id", "file_key", "row_at", let(words_of(F.col("text")), of_words).alias("s")).select("doc_id", "file_key", "row_at", "s.*"), "blocks")
 
-    each = read.where(F.size("blocks") > 0).select("file_key", "row_at", F.explode("blocks").alias("b"))
-    words = each.select("file_key", "row_at", F.col("b.at").alias("at"), F.col("b.tokens").alias("tokens"), F.explode(F.array_intersect("b.tokens", prefix)).alias("word"))
-    firsts = words.join(index, "word").where(F.size("tokens") >= F.col("need")).where(F.col("size") - F.col("place") >= F.col("need"))
-    template_words = F.array(*[F.array(*[F.lit(w) for w in sorted(set(t.split()))]) for _, t in templates])
-    counted = firsts.withColumn("shared", F.size(F.array_intersect("tokens", F.get(template_words, F.col("template"))))).where("shared >= need")
+    each = read.where(F.size("blocks") > 0).select("file_key", "row_at", F.explode("blocks").alias("b")).select("file_key", "row_at", "b.at", "b.ranks")
+    asked = candidates(each, index).where(F.col("long_enough") & (F.col("bound") >= F.col("need")))
+    arrays = lambda i: F.array(*[F.array(*[F.lit(r).cast("bigint") for r in in_order(t[i], order)]) for t in templates])
+    named = F.size(F.array_except(F.get(arrays(2), F.col("template")), "ranks")) == 0
+    label = F.get(F.array(*[F.lit(t[0]) for t in templates]), F.col("template"))
+    counted = asked.withColumns({"shared": F.size(F.array_intersect("ranks", F.get(arrays(1), F.col("template")))), "label": label}).where((F.col("shared") >= F.col("need")) & named)
     method = counted.groupBy("file_key", "row_at").agg(F.collect_set("label").alias("found"), F.max(F.col("shared") / F.col("size")).alias("containment"))
     method = written(method.select(F.col("file_key").alias("f"), F.col("row_at").alias("r"), "found", "containment"), "templates")
     method = small_or_not(method, method.count(), 120)

@@ -155,9 +155,9 @@ def brute_licenses(text):
     both, best = set(labels), 0.0
     for s in range(0, max(1, len(words)), L.STEP):
         block = set(words[s : s + L.BLOCK])
-        for label, template in L.TEMPLATES:
+        for label, template, names in L.TEMPLATES:
             t = set(template.split())
-            if len(t & block) >= L.needed(len(t), L.THRESHOLD):
+            if len(t & block) >= L.needed(len(t), L.THRESHOLD) and set(names.split()) <= block:
                 both.add(label)
                 best = max(best, len(t & block) / len(t))
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(both)), 1.0 if at else best
@@ -180,6 +180,32 @@ def test_op5_finds_templates_and_phrases(spark, nothing):
     assert L.scan(nothing).collect() == []
 
 
+def test_op5_filters_reject_rows_and_lose_none(spark):
+    """Random blocks of template words: the length and the positional filter both reject candidates, and none that holds enough words."""
+    rng = np.random.default_rng(8)
+    order = sorted({w for _, t, _ in L.TEMPLATES for w in t.split()}, key=lambda w: (len(w) * 7 % 11, w))
+    index_rows = L.template_index(order, L.TEMPLATES, L.THRESHOLD)
+    rows = []
+    for i in range(600):
+        words = set(rng.choice(order, int(rng.integers(1, 30)), replace=False))
+        template = L.TEMPLATES[i % len(L.TEMPLATES)][1].split()
+        words |= set(rng.choice(template, int(rng.integers(0, len(template) + 1)), replace=False))
+        rows.append((0, i, 0, L.in_order(" ".join(words), order)))
+    blocks = spark.createDataFrame(rows, "file_key bigint, row_at bigint, at int, ranks array<bigint>")
+    got = L.candidates(blocks, spark.createDataFrame(index_rows, "rank bigint, template int, i int, size int, need int")).collect()
+    enough = {(i, t) for _, i, _, ranks in rows for t, (_, text, _) in enumerate(L.TEMPLATES) if len(set(ranks) & set(L.in_order(text, order))) >= L.needed(len(set(text.split())), L.THRESHOLD)}
+    kept = {(r["row_at"], r["template"]) for r in got if r["long_enough"] and r["bound"] >= r["need"]}
+    assert len(got) == len({(r["row_at"], r["template"]) for r in got})  # each block and template once
+    assert sum(not r["long_enough"] for r in got) > 50 and sum(r["long_enough"] and r["bound"] < r["need"] for r in got) > 50
+    assert enough <= kept and len(enough) > 100
+
+
+@pytest.mark.parametrize("text", ["This program is released under the GNU license", "The song was released under the new license", "the license under which 2 0 versions of the file are licensed"])
+def test_op5_no_label_without_its_name(spark, text):
+    got = L.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert (got["labels"], got["score"]) == ("", 0.0)
+
+
 # -- Chats -----------------------------------------------------------------------------------------------------------------------------
 
 
