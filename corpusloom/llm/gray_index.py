@@ -98,39 +98,3 @@ class Forest:
             while not np.array_equal(q := p[p], p):
                 p = q
         self.parent = p
-
-
-def closest(group: np.ndarray, apart: np.ndarray) -> np.ndarray:
-    """Of each group, the index of one row with the least distance."""
-    order = np.lexsort((apart, group))
-    return order[np.flatnonzero(np.diff(group[order], prepend=-1))]
-
-
-def spanning(a: np.ndarray, b: np.ndarray, apart: np.ndarray, parent: np.ndarray) -> np.ndarray:
-    """Indices of a minimum spanning forest of the links between the groups that parent has: of each group, in rounds, the closest link out of it."""
-    forest, order = Forest(len(parent)), np.argsort(apart, kind="stable")
-    forest.parent = parent.copy()
-    a, b, left, kept = a[order], b[order], np.arange(len(order)), [np.empty(0, np.int64)]
-    while True:
-        x, y = forest.parent[a[left]], forest.parent[b[left]]
-        out = x != y
-        if not out.any():
-            return order[np.concatenate(kept)]
-        left, least = left[out], np.full(len(parent), len(order))
-        for side in (x[out], y[out]):
-            np.minimum.at(least, side, left)
-        picked = np.unique(least[least < len(order)])
-        kept.append(picked)
-        forest.join(a[picked], b[picked])
-
-
-def forests(a: np.ndarray, b: np.ndarray, apart: np.ndarray, parent: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of so many minimum spanning forests between the groups, one after another, and of the links between groups that are in none of them."""
-    left, kept = np.flatnonzero(parent[a] != parent[b]), [np.empty(0, np.int64)]
-    for _ in range(many):
-        if not len(left):
-            break
-        picked = spanning(a[left], b[left], apart[left], parent)
-        kept.append(left[picked])
-        left = np.delete(left, picked)
-    return np.concatenate(kept), left

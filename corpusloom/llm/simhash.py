@@ -6,9 +6,9 @@ order, over all fingerprints that it was dealt; every pair comes from a search o
 a block. It hands on a spanning forest of what it has linked, never all pairs. Blocks with very many fingerprints are dealt out once
 more in chunks, every two of which meet, which keeps the result whole.
 
-At a similarity of shingles instead of a distance, only links of a small distance are sure. Of the others a task hands on the closest
-ones between the groups it has (a minimum spanning forest), and the exact similarity of the two texts' shingles decides each. Where they
-fail, the next closest follow, until the groups are joined or no link between them is left.
+At a similarity of shingles instead of a distance, chains of such links only say which texts may be alike: families. Within a family the exact
+similarity of every two texts is computed where their shingles have been brought together, and a spanning forest of what is alike is handed on; a large
+family is cut by lengths (texts that are alike are nearly as long) and then into chunks, every two of which meet.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and links like any other; repeated rows
 come out as often as they occur; a null doc_id is ignored by the smallest doc_id; an empty table gives no rows.
@@ -21,20 +21,21 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scanned, small_or_not, text_of, with_locator, without_rows, written
 from .components import components
-from .gray_index import Forest, GrayIndex, forests, gray_rank
+from .gray_index import Forest, GrayIndex, gray_rank
 
 #: A key with more fingerprints than this is dealt out again, in chunks.
 MOST_IN_BLOCK = 50_000
 BLOCK, SHINGLE = b"\0", b"\1"  # first bytes of the two kinds of keys
+MOST_IN_GROUP = 1024  # texts of a family that one task compares at once
+MOST_HELD = 4_000_000  # and shingles of them
 SHORT = 62  # texts of up to so many distinct shingles are brought together by shingles too: any as short as 49, with all that can be 0.8 like it
-SHORT_RADIUS = 104  # of 256 bits; of pairs of short texts at 0.8 a bit differs with a chance of 3 in 16 at most, so that 2 in 10**16 are further apart
-HELD = 2_000_000  # unsure links of a run in memory; beyond it they are thinned to a spanning forest
 
 Blocks = Sequence[tuple[int, ...]]  # bit positions of each block, as many in each
 
@@ -85,95 +86,97 @@ def fingerprints(rows: DataFrame, words: int, bits: int, keep: Sequence[str], re
     return rows.select(*names, text_of().cast("binary").alias("text")).mapInArrow(of, schema)
 
 
-def _pairs(codes: np.ndarray, runs: np.ndarray, radius: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _pairs(codes: np.ndarray, runs: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """All pairs of rows of one run at most their radius apart, and their distances: one index in Gray order over all runs."""
     order = np.lexsort((*gray_rank(codes).T[::-1], runs))
     for a, b, apart in GrayIndex(codes[order], runs).lower_neighbours(radius):
         yield order[a], order[b], apart
 
 
-def _link(radius: int, sure: int, width: int, many: int = 1):
-    """For partitions sorted by key: the links a, b found among the rows of each key, and whether they are sure. Of the unsure links
-    between groups, so many spanning forests; a key that has more of them has a row without a and b.
-
-    Further columns, if there are any: the root of the group that the row is in (or null), and, for a pair that was found to be
-    unlike, the other one of the pair."""
-
-    def of(keys: np.ndarray, raw: np.ndarray, roots: np.ndarray | None, others: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        unlike = np.empty(0, np.int64)
-        if others is not None:
-            pairs = np.array([o is not None for o in others], bool)
-            of_pairs = list(zip(keys[pairs], (bytes(r) for r in raw[pairs]), others[pairs], strict=True))
-            keys, raw, roots = keys[~pairs], np.ascontiguousarray(raw[~pairs]), roots[~pairs]
-        n = len(keys)
-        if not n:
-            return
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        sizes = np.diff(np.append(starts, n))
-        codes = raw.view(">u8").astype(np.uint64).reshape(n, width // 8)
-        forest = Forest(n)
-        if others is not None:
-            first: dict = {}
-            forest.parent = np.array([i if r is None else first.setdefault((k, r), i) for i, (k, r) in enumerate(zip(keys, roots, strict=True))])
-            if of_pairs:
-                place = {(k, bytes(r)): i for i, (k, r) in enumerate(zip(keys, raw, strict=True))}
-                ends = np.array([(place[k, a], place[k, b]) for k, a, b in of_pairs])
-                unlike = np.unique(ends.max(axis=1) * n + ends.min(axis=1))
-        before = forest.parent.copy()
-        unsure, held, room, more = [], 0, HELD, [np.empty(0, np.int64)]
-
-        def thinned() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-            a, b, apart = (np.concatenate(x) for x in zip(*unsure, strict=True))
-            kept, left = forests(a, b, apart, forest.parent, many)
-            more.append(np.unique(np.searchsorted(starts, a[left], "right") - 1))
-            return [(a[kept], b[kept], apart[kept])]
-
-        most = np.repeat([SHORT_RADIUS if k[:1] == SHINGLE else radius for k in keys[starts]], sizes)
-        for a, b, apart in _pairs(codes, np.repeat(np.arange(len(starts)), sizes), most):
-            near = apart <= sure
-            forest.join(a[near], b[near])
-            rest = ~near & (forest.parent[a] != forest.parent[b])
-            if len(unlike):
-                rest &= ~np.isin(np.maximum(a, b) * n + np.minimum(a, b), unlike)
-            if rest.any():
-                unsure.append((a[rest], b[rest], apart[rest]))
-                held += int(rest.sum())
-            if held > room:
-                unsure = thinned()
-                held = len(unsure[0][0])
-                room = max(HELD, 2 * held)
-        if unsure:
-            unsure = thinned()
-        moved = np.flatnonzero(forest.parent != before)
-        a = np.concatenate([moved, *[u[0] for u in unsure]])
-        b = np.concatenate([forest.parent[moved], *[u[1] for u in unsure]])
-        more_keys = keys[starts[np.unique(np.concatenate(more))]].tolist()
-        if len(a) or more_keys:
-            ends = [pa.array([*raw[x].reshape(-1, width).view(f"V{width}").ravel().tolist(), *[None] * len(more_keys)], pa.binary()) for x in (a, b)]
-            certain = [*(np.arange(len(a)) < len(moved)).tolist(), *[None] * len(more_keys)]
-            yield pa.RecordBatch.from_arrays([pa.array([*keys[a].tolist(), *more_keys], pa.binary()), *ends, pa.array(certain, pa.bool_())], names=["key", "a", "b", "sure"])
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a partition that is sorted by its first column, cut so that no key is in two of them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0)
+        start = 0
+        if batch.num_rows > 1:
+            turns = np.flatnonzero(pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False))
+            start = int(turns[-1]) + 1 if len(turns) else 0
+        if start or (held and held[-1].column(0)[-1] != keys[0]):
+            rows = [*held, batch.slice(0, start)] if start else held
+            yield pa.Table.from_batches(rows).combine_chunks().to_batches(max_chunksize=None)[0]
+            held = []
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)[0]
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray | None, ...]] = []
 
-        def whole(parts: list[tuple[np.ndarray | None, ...]]) -> Iterator[pa.RecordBatch]:
-            keys, raw, roots, others = (None if x[0] is None else np.concatenate(x) for x in zip(*parts, strict=True))
-            yield from of(keys, np.ascontiguousarray(raw), roots, others)
+def _runs(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys starts, and how long it is."""
+    new = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(np.concatenate([[True], new]))
+    return starts, np.diff(np.append(starts, len(keys)))
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.array(batch.column(0).to_pylist(), object)
+
+def _links(names: np.ndarray, forest: Forest) -> pa.RecordBatch | None:
+    """The links a, b of a forest over rows with names."""
+    moved = np.flatnonzero(forest.parent != np.arange(len(names)))
+    return pa.RecordBatch.from_arrays([of_bytes(names[moved]), of_bytes(names[forest.parent[moved]])], names=["a", "b"]) if len(moved) else None
+
+
+def _link(radius: int, width: int):
+    """For partitions of key, fp sorted by key: a spanning forest a, b of the fingerprints at most radius bits apart of each key."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_keys(batches):
+            starts, sizes = _runs(batch.column(0))
             raw = bytes_of(batch.column(1), width)
-            further = [np.array([*batch.column(i).to_pylist(), None], object)[:-1] if batch.num_columns > i else None for i in (2, 3)]
-            last = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if (keys != keys[-1]).any() else 0
-            cut = lambda part: tuple(None if x is None else x[part] for x in (keys, raw, *further))  # noqa: B023, E731
-            if last or (held and held[-1][0][-1] != keys[0]):
-                yield from whole([*held, cut(slice(last))] if last else held)
-                held = []
-            held.append(cut(slice(last, None)))
-        if held:
-            yield from whole(held)
+            forest = Forest(len(raw))
+            for a, b, _ in _pairs(np.ascontiguousarray(raw).view(">u8").astype(np.uint64), np.repeat(np.arange(len(starts)), sizes), radius):
+                forest.join(a, b)
+            if (found := _links(raw, forest)) is not None:
+                yield found
+
+    return task
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of sets (sorted, without repeats) that have the similarity (shared over all elements), each once. An empty set is like none.
+
+    Shared elements are counted by products of blocks of the incidence matrix of what at least two sets hold."""
+    sizes = np.array([len(s) for s in sets])
+    owner, values = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+    _, column, holders = np.unique(values, return_inverse=True, return_counts=True)
+    several = holders[column] > 1
+    owner, column = owner[several], (np.cumsum(holders > 1) - 1)[column[several]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared, width = np.zeros((len(sets), len(sets)), np.float32), 4096
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        part = slice(*np.searchsorted(column, (low, low + width)))
+        held = np.zeros((len(sets), width), np.float32)
+        held[owner[part], column[part] - low] = 1
+        shared += held @ held.T
+    good = (shared > 0) & (shared >= similarity * (sizes[:, None] + sizes[None, :] - shared.astype(np.float64)))
+    return np.nonzero(np.tril(good, -1))
+
+
+def _confirm(similarity: float, width: int):
+    """For partitions of key, fp, shingles sorted by key: a spanning forest a, b of the texts of each key that have the similarity."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_keys(batches):
+            starts, sizes = _runs(batch.column(0))
+            raw, shingles = bytes_of(batch.column(1), width), batch.column(2)
+            ends, values = shingles.offsets.to_numpy(), shingles.values.to_numpy(zero_copy_only=False)
+            forest = Forest(len(raw))
+            for start, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+                a, b = alike([values[ends[i] : ends[i + 1]] for i in range(start, start + size)], similarity)
+                forest.join(start + a, start + b)
+            if (found := _links(raw, forest)) is not None:
+                yield found
 
     return task
 
@@ -208,23 +211,44 @@ def by_blocks(distinct: DataFrame, bits: int, blocks: Blocks) -> DataFrame:
 
 
 def dealt_again(keyed: DataFrame, most: int) -> DataFrame:
-    """keyed, with each key of over most rows cut into chunks by a hash: every two chunks, and each with itself, have a key of their own,
-    so that any two rows of the key still meet, in tasks of bounded size."""
-    large = written(keyed.groupBy("key").count().where(F.col("count") > most).select(F.col("key").alias("large"), F.ceil(2 * F.col("count") / most).cast("int").alias("chunks")), "large")
+    """keyed (key, fp, further columns), with each key of over most rows cut into chunks by a hash: every two chunks, and each with itself, have a key
+    of their own, so that any two rows of the key still meet, in tasks of bounded size. With a column n, what a row holds, a key may hold MOST_HELD too."""
+    held = F.ceil(2 * F.sum("n") / MOST_HELD) if "n" in keyed.columns else F.lit(1)
+    sized = keyed.groupBy("key").agg(F.greatest(F.ceil(2 * F.count(F.lit(1)) / most), held).cast("int").alias("chunks"))
+    large = written(sized.where("chunks > 2").select(F.col("key").alias("large"), "chunks"), "large")
     n = large.count()
     if not n:
         return keyed
     side = small_or_not(large, n, 40)
     rows = keyed.join(side, keyed.key == large.large, "left").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    other = rows.select("key", "fp", "chunk", F.explode(F.when(F.col("large").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))).alias("other"))
+    kept = [c for c in keyed.columns if c != "key"]
+    other = rows.select("key", *kept, "chunk", F.explode(F.when(F.col("large").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))).alias("other"))
     number = lambda c: F.unhex(F.lpad(F.hex(c), 8, "0"))
-    return other.select(F.when(F.col("chunk").isNull(), F.col("key")).otherwise(F.concat("key", number(F.least("chunk", "other")), number(F.greatest("chunk", "other")))).alias("key"), "fp")
+    return other.select(F.when(F.col("chunk").isNull(), F.col("key")).otherwise(F.concat("key", number(F.least("chunk", "other")), number(F.greatest("chunk", "other")))).alias("key"), *kept)
+
+
+def dealt_by_length(keyed: DataFrame, similarity: float, most: int) -> DataFrame:
+    """keyed (key, fp, n), with each key of over most rows cut by n: sets that are alike are in one class of lengths or in two that follow each other,
+    and every class has a key of its own and meets the next one in another."""
+    large = written(keyed.groupBy("key").count().where(F.col("count") > most).select(F.col("key").alias("large")), "large")
+    n = large.count()
+    if not n:
+        return keyed
+    # Half a class more than the similarity asks for keeps lengths at the border of the ratio in classes that follow each other.
+    class_ = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / -math.log(similarity - 1e-6)).cast("int")
+    rows = keyed.join(small_or_not(large, n, 40), keyed.key == large.large, "left")
+    cut = rows.select("key", "fp", "n", F.explode(F.when(F.col("large").isNull(), F.array(F.lit(-1))).otherwise(F.array(class_, class_ + 1))).alias("class"))
+    return cut.select(F.when(F.col("class") < 0, F.col("key")).otherwise(F.concat("key", F.unhex(F.lpad(F.hex("class"), 8, "0")))).alias("key"), "fp", "n")
 
 
-def linked(keyed: DataFrame, bits: int, radius: int, sure: int, many: int = 1) -> DataFrame:
-    """Links a, b between fingerprints at most radius bits apart that share a key: spanning forests of each, as in _link."""
-    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link(radius, sure, bits // 8, many), "key binary, a binary, b binary, sure boolean")
+def by_key(rows: DataFrame) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key").sortWithinPartitions("key")
+
+
+def linked(keyed: DataFrame, bits: int, radius: int) -> DataFrame:
+    """Links a, b between fingerprints at most radius bits apart that share a key: a spanning forest of each."""
+    return by_key(keyed.select("key", "fp")).mapInArrow(_link(radius, bits // 8), "a binary, b binary")
 
 
 def exact_blocks(bits: int, radius: int) -> Blocks:
@@ -258,11 +282,15 @@ def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("fp", text_of().cast("binary").alias("text")).mapInArrow(of, "fp binary, shingles array<bigint>")
 
 
-def by_shingles(distinct: DataFrame, located: DataFrame, words: int, similarity: float) -> DataFrame:
-    """key, fp: each short text under the keys of its rarest shingles, so many that texts of the similarity have one in common."""
-    asked = written(distinct.where(F.col("n").between(1, SHORT)).select("fp", "least.file_key", "least.row_at"), "short")
+def sets_of(asked: DataFrame, located: DataFrame, words: int) -> DataFrame:
+    """fp and shingles of the asked texts (fp, file_key, row_at)."""
     texts = located.select("file_key", "row_at", "text").join(small_or_not(asked, asked.count(), 200), ["file_key", "row_at"])
-    each = written(shingle_sets(texts, words), "short_sets").select("fp", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    return written(shingle_sets(texts, words), "shingles")
+
+
+def by_shingles(short: DataFrame, similarity: float) -> DataFrame:
+    """key, fp: each short text (fp, shingles) under the keys of its rarest shingles, so many that texts of the similarity have one in common."""
+    each = short.select("fp", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     shared = written(each.groupBy("shingle").count().where("count > 1"), "shared")
     ranked = each.join(small_or_not(shared, shared.count(), 16), "shingle").groupBy("fp").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("count", "shingle"))).alias("of"))
     # Of n shingles the first n - ceil(similarity x n) + 1; those that no other text has come before all others and bring nothing together.
@@ -271,60 +299,30 @@ def by_shingles(distinct: DataFrame, located: DataFrame, words: int, similarity:
     return written(keys.select(F.concat(F.lit(SHINGLE), F.unhex(F.lpad(F.hex("at.shingle"), 16, "0"))).alias("key"), "fp"), "by_shingles")
 
 
-def alike(pairs: DataFrame, distinct: DataFrame, located: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs a, b, and whether their texts have the similarity (Jaccard of distinct shingles; a text without shingles is like none).
-    Only texts of these pairs are read again, once each."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    asked = written(named.join(distinct, "fp").select("fp", "least.file_key", "least.row_at"), "asked")
-    texts = located.select("file_key", "row_at", "text").join(small_or_not(asked, asked.count(), 200), ["file_key", "row_at"])
-    sets = written(shingle_sets(texts, words), "shingles")
-    one, other = (sets.select(F.col("fp").alias(end), F.col("shingles").alias(f"of_{end}")) for end in ("a", "b"))
-    shared = pairs.join(one, "a").join(other, "b").select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("n"), (F.size("of_a") + F.size("of_b")).alias("both"))
-    return shared.select("a", "b", ((F.col("n") > 0) & (F.col("n") >= similarity * (F.col("both") - F.col("n")))).alias("alike"))
-
-
-def confirmed(keyed: DataFrame, distinct: DataFrame, located: DataFrame, bits: int, radius: int, sure: int, words: int, similarity: float) -> DataFrame:
-    """node, root as components gives them, over all links of keyed that are sure or whose texts have the similarity.
-
-    In rounds: each key hands on spanning forests of its unsure links, the closest first; those found unlike are put aside, and keys that
-    have more links between groups still apart hand on the next ones, four times as many forests a round, until none is left."""
-    rows, many, good, tried, asked = keyed, 1, None, None, None
-    while True:
-        found = written(linked(rows, bits, radius, sure, many), "links")
-        pairs = found.where("a is not null").select("key", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "sure")
-        certain = pairs.where("sure").select("a", "b")
-        unsure = pairs.where("not sure").select("key", "a", "b")
-        new = unsure.select("a", "b").distinct() if tried is None else unsure.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-        judged = written(alike(written(new, "unsure"), distinct, located, words, similarity), "judged")
-        now = certain.unionByName(judged.where("alike").select("a", "b"))
-        good = now if good is None else good.unionByName(now)
-        tried = judged if tried is None else tried.unionByName(judged)
-        asked = unsure if asked is None else asked.unionByName(unsure)
-        roots = components(good)
-        more = written(found.where("a is null").select("key").distinct(), "more")
-        n = more.count()
-        if not n:
-            return roots
-        more, many = small_or_not(more, n, 60), many * 4
-        members = keyed.join(more, "key", "left_semi").join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", "root", F.lit(None).cast("binary").alias("other"))
-        unlike = asked.join(more, "key", "left_semi").join(tried.where("not alike"), ["a", "b"]).select("key", "a", "b").distinct()
-        rows = members.unionByName(unlike.select("key", F.col("a").alias("fp"), F.lit(None).cast("binary").alias("root"), F.col("b").alias("other")))
-
-
-def near_components(rows: DataFrame, words: int = 3, bits: int = 64, radius: int = 3, sure: int | None = None, similarity: float | None = None) -> DataFrame:
+def confirmed(distinct: DataFrame, links: DataFrame, located: DataFrame, bits: int, words: int, similarity: float) -> DataFrame:
+    """node, root as components gives them, over all pairs of texts that have the similarity and are in one family of links or, if short, share a rare shingle."""
+    where = distinct.select("fp", "n", "least.file_key", "least.row_at")
+    family = components(links)
+    members = family.select(F.col("root").alias("key"), F.col("node").alias("fp")).unionByName(family.select(F.col("root").alias("key"), F.col("root").alias("fp")).distinct())
+    members = written(members.select(F.concat(F.lit(BLOCK), "key").alias("key"), "fp").join(where, "fp"), "families")
+    short = sets_of(written(where.where(F.col("n").between(1, SHORT)).drop("n"), "asked"), located, words)
+    long = sets_of(written(members.where(F.col("n") > SHORT).drop("key", "n"), "asked"), located, words)
+    keyed = members.select("key", "fp", "n").unionByName(by_shingles(short, similarity).join(where.select("fp", "n"), "fp").select("key", "fp", "n"))
+    dealt = dealt_again(dealt_by_length(keyed, similarity, MOST_IN_GROUP), MOST_IN_GROUP)
+    rows = dealt.select("key", "fp").join(short.unionByName(long), "fp").select("key", "fp", "shingles")
+    return components(by_key(rows).mapInArrow(_confirm(similarity, bits // 8), "a binary, b binary"))
+
+
+def near_components(rows: DataFrame, words: int = 3, bits: int = 64, radius: int = 3, similarity: float | None = None) -> DataFrame:
     """doc_id, file_key, row_at, fp, component_id (smallest doc_id reachable), first (whether the row stands for its component).
 
-    With a similarity, fingerprints are of distinct shingles, and links of more than sure bits must have it."""
+    With a similarity, fingerprints are of distinct shingles, and texts within the radius are linked only if they have it."""
     located = with_locator(rows, ["doc_id", "text"])
     each = written(fingerprints(located, words, bits, ["doc_id", "file_key", "row_at"], similarity is None), "fingerprints")
     distinct = written(each.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file_key", "row_at")).alias("least"), *([] if similarity is None else [F.max("n").alias("n")])), "distinct")
-    if similarity is None:
-        keyed = dealt_again(by_blocks(distinct, bits, exact_blocks(bits, radius)), MOST_IN_BLOCK)
-        roots = components(linked(keyed, bits, radius, radius).select("a", "b"))
-    else:
-        blocked = by_blocks(distinct, bits, blocks_for(distinct.count(), similarity, bits))
-        keyed = dealt_again(blocked.unionByName(by_shingles(distinct, located, words, similarity)), MOST_IN_BLOCK)
-        roots = confirmed(keyed, distinct, located, bits, radius, sure, words, similarity)
+    blocks = exact_blocks(bits, radius) if similarity is None else blocks_for(distinct.count(), similarity, bits)
+    links = linked(dealt_again(by_blocks(distinct, bits, blocks), MOST_IN_BLOCK), bits, radius)
+    roots = components(links) if similarity is None else confirmed(distinct, links, located, bits, words, similarity)
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # Written first: the join below then has an exchange on either side, and a root with very many fingerprints can be split.
     least = written(rooted.groupBy("root").agg(F.min("least").alias("first")), "roots")
@@ -349,9 +347,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
     """near_components at a similarity of five-word shingles. Such texts differ in more bits than can be blocked exactly: blocks_for brings 99 in
     100 pairs of long texts of a similarity of 0.8 together, and nearly all from 0.85 on. In short texts bits are ties too often
     for that: those of up to SHORT shingles are brought together by shared shingles as well, which loses none.
-    Distances up to 2.6 deviations above that of the similarity are looked at (996 in 1000 pairs at 0.8); those over 3.3 deviations below it are
-    sure (of pairs just below 0.8, 5 in 10,000 are as close), all others are decided by the texts' shingles."""
-    return near_components(docs, words, bits, radius_for(similarity, bits, 2.6), radius_for(similarity, bits, -3.3), similarity)
+    Distances up to 2.6 deviations above that of the similarity make families (996 in 1000 pairs at 0.8); within them the texts' shingles decide."""
+    return near_components(docs, words, bits, radius_for(similarity, bits, 2.6), similarity)
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -1,12 +1,16 @@
 """Document fingerprints by winnowing (operator 4). DataFrame and SQL functions only.
 
-A text is read as units: runs of up to four characters within a word, counted from the word's start, so that units fall into
-step again at the next word. Each run of GRAM units is hashed; of every window of WINDOW hashes the least is kept, the rightmost
-of equal ones, with its position. Windows hang over both ends of the text. Two texts that share GRAM + WINDOW - 1 consecutive
-units thus share a fingerprint, and equal texts have equal fingerprints.
-
-Defined results: a null text counts as empty; a text of fewer units than a gram is hashed whole; of rows with equal doc_id the next
-is by place in the table; the only document of a table is its own next; an empty table gives no rows.
+A text is read as units, cut where its own characters say so: at white space, after certain letters and digits, and around every
+character of scripts that are written without spaces. A copy that stands elsewhere thus has the same units. Every unit is hashed
+once; the hash of a run of GRAM units is the cyclic-polynomial rolling hash of their hashes (64 bits). Of every window of WINDOW grams the one with the least
+hash (its first 33 bits decide) is kept, the rightmost of equal ones, with the place of its first character. Windows hang over both
+ends of the text. Two texts that share GRAM + WINDOW - 1 consecutive units thus share a print, whatever stands around them, and equal
+texts have equal fingerprints.
+
+Defined results: a null text counts as empty; a text of fewer units than a gram is hashed whole; a run of more than 32 characters
+without a cut is cut every 32 from its start (a copy at another place of it then shares units only after the next cut); of rows with
+equal doc_id the next is by place in the table; the only document of a table is its own next; whole texts are read, however long; an
+empty table gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -16,10 +20,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, with_locator, written
+from .common import text_of, with_locator
 
 GRAM, WINDOW = 3, 8
 LOW = (1 << 31) - 1
+SPACE = " \t\n\x0b\f\r"
+CUT = "aouAOU0159"  # a unit ends after these
+ALONE = r"\x{E00}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{ABFF}\x{F900}-\x{10FFFF}"  # scripts without spaces between words, and symbols
+UNIT = rf"[{SPACE}]*(?:[^{SPACE}{CUT}{ALONE}]{{0,31}}[{CUT}]|[^{SPACE}{CUT}{ALONE}]{{1,32}}|[{ALONE}])"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -27,38 +35,97 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def winnowed(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
-    """Kept prints in text order: each is hash << 31 | (2**31 - 1 - position), so that the least is also the rightmost of equal hashes."""
+def rotated(x: Column, by: int) -> Column:
+    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
+
+
+def rolling(units: Column, gram: int) -> Column:
+    """Of each run of gram hashes the cyclic polynomial: every hash is rotated by the number of those after it, and all are joined by exclusive or."""
+    first = F.slice(units, 1, F.greatest(F.size(units) - gram + 1, F.lit(0)))
+
+    def of(h: Column, i: Column) -> Column:
+        out = rotated(h, gram - 1)
+        for k in range(1, gram):
+            out = out.bitwiseXOR(rotated(F.get(units, i + k), gram - 1 - k) if gram - 1 > k else F.get(units, i + k))
+        return out
+
+    return F.transform(first, of)
+
+
+def places(pieces: Column, wanted: Column) -> Column:
+    """Of each wanted piece number its hash (wanted: number, hash) and the place of the unit's first character. Lengths are summed by blocks of
+    some square root of the number of pieces, so that neither a place nor a block has many to add."""
+    add = lambda a, b: a + b
+
+    def of_lengths(lengths: Column) -> Column:
+        block = F.greatest(F.sqrt(F.size(lengths)).cast("int"), F.lit(32))
+
+        def of_block(b: Column) -> Column:
+            starts = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / b).cast("int"))
+            return let(F.transform(starts, lambda k: F.slice(lengths, k * b + 1, b)), lambda blocks: of_blocks(b, blocks))
+
+        def of_blocks(b: Column, blocks: Column) -> Column:
+            sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), add))
+            base = F.aggregate(sums, F.array(F.lit(0)), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x)))
+
+            def of_base(base: Column) -> Column:
+                def place(w: Column) -> Column:
+                    i = w["number"]
+                    k = F.floor(i / b).cast("int")
+                    white = F.get(lengths, i) - F.char_length(F.ltrim(F.get(pieces, i), F.lit(SPACE)))
+                    return F.get(base, k) + F.aggregate(F.slice(F.get(blocks, k), 1, i - k * b), F.lit(0), add) + white  # a slice costs as much as its whole array is long
+
+                return F.transform(wanted, lambda w: F.struct(w["hash"].alias("hash"), place(w).alias("at")))
 
-    def grams(units: Column) -> Column:
-        n = F.size(units)
-        packed = lambda h, i: F.shiftleft(h.bitwiseAND(F.lit(LOW).cast("bigint")), 31).bitwiseOR(F.lit(LOW).cast("bigint") - i)
-        whole = F.array(packed(F.xxhash64(F.array_join(units, " ")), F.lit(0).cast("bigint")))
-        each = F.transform(F.slice(units, 1, F.greatest(n - gram + 1, F.lit(1))), lambda u, i: packed(F.xxhash64(u, *[F.get(units, i + k) for k in range(1, gram)]), i.cast("bigint")))
-        return F.when(n < gram, whole).otherwise(each)
+            return let(base, of_base)
 
-    def least(prints: Column, span: int) -> Column:
-        """Least of each print and the span - 1 after it, by doubling; at the end what is there counts."""
+        return let(block, of_block)
+
+    return let(F.transform(pieces, lambda p: F.char_length(p)), of_lengths)
+
+
+def winnowed(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
+    """Kept prints (hash, at) in text order."""
+
+    def least(keys: Column, span: int) -> Column:
+        """Least of each key and the span - 1 after it, by doubling; at the end what is there counts."""
         shifted = lambda step: lambda p: F.zip_with(p, F.slice(p, step + 1, F.size(p)), lambda a, b: F.least(a, b))
         done = 1
         while done < span:
             step = min(done, span - done)
-            prints = let(prints, shifted(step))
+            keys = let(keys, shifted(step))
             done += step
-        return prints
+        return keys
+
+    low = F.lit(LOW).cast("bigint")
+    ahead = F.array_repeat(F.lit((1 << 63) - 1).cast("bigint"), window - 1)
+    # A key is the start of the hash, then what is left to the number of the gram, so that the least is the rightmost of equal ones.
+    key = lambda h, i: F.shiftleft(F.shiftright(h, 31), 31).bitwiseOR(low - i)
+    number = lambda k: (low - k.bitwiseAND(low)).cast("int")
+
+    def of_grams(pieces: Column) -> Callable[[Column], Column]:
+        def of(grams: Column) -> Column:
+            kept = F.array_distinct(least(F.concat(ahead, F.transform(grams, key)), window))
+            return places(pieces, F.transform(kept, lambda k: F.struct(number(k).alias("number"), F.get(grams, number(k)).alias("hash"))))
 
-    units = F.regexp_extract_all(text, F.lit(r"\S{1,4}"), 0)
-    ahead = F.array_repeat(F.lit((1 << 62) + LOW).cast("bigint"), window - 1)
-    return F.array_distinct(least(F.concat(ahead, let(units, grams)), window))
+        return of
+
+    def of_pieces(pieces: Column) -> Column:
+        units = F.transform(pieces, lambda p: F.ltrim(p, F.lit(SPACE)))
+        whole = F.array(F.struct(F.xxhash64(F.array_join(units, " ")).alias("hash"), F.lit(0).alias("at")))
+        grams = let(F.transform(units, lambda u: F.xxhash64(u)), lambda h: rolling(h, gram))
+        return F.when(F.size(pieces) < gram, whole).otherwise(let(grams, of_grams(pieces)))
+
+    return let(F.regexp_extract_all(text, F.lit(UNIT), 0), of_pieces)
 
 
 def hashes(prints: Column) -> Column:
-    return F.array_distinct(F.transform(prints, lambda p: F.shiftright(p, 31).cast("int")))
+    return F.array_distinct(F.transform(prints, lambda p: p["hash"]))
 
 
 def as_string(prints: Column) -> Column:
-    """hash@position, hexadecimal, joined by commas."""
-    return F.lower(F.array_join(F.transform(prints, lambda p: F.concat(F.hex(F.shiftright(p, 31)), F.lit("@"), F.hex(F.lit(LOW).cast("bigint") - p.bitwiseAND(F.lit(LOW).cast("bigint"))))), ","))
+    """hash@place, hexadecimal, joined by commas."""
+    return F.lower(F.array_join(F.transform(prints, lambda p: F.concat(F.hex(p["hash"]), F.lit("@"), F.hex(p["at"]))), ","))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -66,37 +133,47 @@ def likeness(a: Column, b: Column) -> Column:
     return let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
 
 
-def neighbours(rows: DataFrame) -> DataFrame:
-    """For each row (file_key, row_at; ordered by doc_id, then place): doc_id, n_chars, and the place and n_chars of the row before it.
+ORDER = ["doc_id", "file_key", "row_at"]
+
 
-    Rows are dealt out by ranges of doc_id and written; only the first and last row of each range, as many as there are
-    partitions, pass through the driver."""
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["doc_id", "file_key", "row_at"]
-    ranged = written(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "ranges")
-    me = F.struct("doc_id", "file_key", "row_at", "n_chars")
-    lasts = sorted((r["part"], r["last"]) for r in ranged.groupBy("part").agg(F.max(me).alias("last")).collect())
-    w = Window.partitionBy("part").orderBy(*order)
-    found = ranged.withColumn("before", F.lag(me).over(w))
-    if lasts:  # the row before the first of a range is the last of the range before it; before the very first, the very last
-        edge = spark.createDataFrame([(p, tuple(lasts[i - 1][1])) for i, (p, _) in enumerate(lasts)], "part int, edge struct<doc_id:bigint,file_key:bigint,row_at:bigint,n_chars:bigint>")
-        found = found.join(F.broadcast(edge), "part").withColumn("before", F.coalesce("before", "edge"))
-    return found.select(*order, "n_chars", F.col("before.file_key").alias("to_file"), F.col("before.row_at").alias("to_row"), F.col("before.n_chars").alias("to_chars"))
+def ranges(rows: DataFrame) -> list:
+    """First keys (doc_id, file_key, row_at) of ranges that hold about as many rows each, rising; only those, one for each partition, reach the driver."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.select(*ORDER).repartitionByRange(n, *ORDER).groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct(*ORDER)).alias("first"))
+    return [tuple(r["first"]) for r in ranged.orderBy("first").collect()]
+
+
+def range_of(firsts: list) -> tuple[Column, Column]:
+    """The number of the range that the row's key is in, and whether it is the first of its range. Searched in two steps of some square root of
+    the number of ranges each."""
+    kind = "array<struct<doc_id:bigint,file_key:bigint,row_at:bigint>>"
+    step = max(1, round(len(firsts) ** 0.5))
+    array = lambda keys: F.array(*[F.struct(*[F.lit(v).cast("bigint").alias(c) for c, v in zip(ORDER, k, strict=True)]) for k in keys]).cast(kind)
+    below = lambda keys: F.size(F.filter(keys, lambda k: k <= F.struct(*ORDER)))
+    every = array(firsts)
+    part = let(F.greatest(below(array(firsts[::step])) - 1, F.lit(0)) * step, lambda at: at + F.greatest(below(F.slice(every, at + 1, step)) - 1, F.lit(0)))
+    return part, F.array_contains(every, F.struct(*ORDER))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, prints of each text, the edited text (its last quarter replaced by the start of the next document's) and its prints, and the next document's hashes."""
+    """doc_id, n_chars, prints of each text, the edited text (its last quarter replaced by the start of the next document's) and its prints, and the next document's hashes.
+
+    Texts are dealt out once, by ranges of doc_id; the first row of each range goes to the range before it too (that of the first to the last), so that every row has its next beside it."""
+    spark = docs.sparkSession
     located = with_locator(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"), "file_key", "row_at")
-    near = written(neighbours(located.select("doc_id", "file_key", "row_at", F.char_length("text").cast("bigint").alias("n_chars"))), "neighbours")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = located.select("file_key", "row_at", "text").repartition(n, "file_key", "row_at")  # once; both sides below read this exchange
-    own = texts.join(near, ["file_key", "row_at"])
-    quarter = lambda c: F.floor(F.col(c) / 4).cast("int")
-    starts = own.select(F.col("to_file").alias("file_key"), F.col("to_row").alias("row_at"), F.substring("text", F.lit(1), quarter("to_chars")).alias("start"), hashes(winnowed(F.col("text"))).alias("next_hashes"))
-    both = own.select("file_key", "row_at", "doc_id", "n_chars", "text").join(starts, ["file_key", "row_at"])
-    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - quarter("n_chars")).cast("int")), F.col("start"))
-    return both.select("doc_id", "n_chars", winnowed(F.col("text")).alias("prints"), edited.alias("edited"), "next_hashes").withColumn("edited_prints", winnowed(F.col("edited")))
+    firsts = ranges(located)
+    if not firsts:
+        return spark.createDataFrame([], "doc_id bigint, n_chars bigint, prints array<struct<hash:bigint,at:int>>, edited string, next_hashes array<bigint>, edited_prints array<struct<hash:bigint,at:int>>")
+    part, is_first = range_of(firsts)
+    before = F.pmod(F.col("part") - 1, F.lit(len(firsts)))
+    own, guest = F.struct(F.col("part").alias("part"), F.lit(False).alias("guest")), F.struct(before.alias("part"), F.lit(True).alias("guest"))
+    placed = located.withColumns({"part": part, "is_first": is_first}).select(*ORDER, "text", F.explode(F.when(F.col("is_first"), F.array(own, guest)).otherwise(F.array(own))).alias("to")).select(*ORDER, "text", "to.*")
+    read = placed.repartition(len(firsts), "part").withColumns({"prints": winnowed(F.col("text")), "n_chars": F.char_length("text").cast("bigint")}).withColumn("hashes", hashes(F.col("prints")))
+    beside = Window.partitionBy("part").orderBy("guest", *ORDER)
+    both = read.withColumns({"next_text": F.lead("text").over(beside), "next_hashes": F.lead("hashes").over(beside)}).where("not guest")
+    quarter = F.floor(F.col("n_chars") / 4).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - quarter).cast("int")), F.substring("next_text", F.lit(1), quarter))
+    return both.select("doc_id", "n_chars", "prints", edited.alias("edited"), "next_hashes").withColumn("edited_prints", winnowed(F.col("edited")))
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

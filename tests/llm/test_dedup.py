@@ -117,7 +117,7 @@ def test_op6_takes_every_pair_from_the_index(sf, monkeypatch):
 
     monkeypatch.setattr(S, "GrayIndex", Watched)
     batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.binary()), pa.array([f for _, f in part], pa.binary())], names=["key", "fp"]) for part in (keyed[i : i + 10_000] for i in range(0, len(keyed), 10_000))]
-    links = [(a, b) for out in S._link(3, 3, 8)(iter(batches)) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)]
+    links = [(a, b) for out in S._link(3, 8)(iter(batches)) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)]
     found = {(int(max(a, b)), int(min(a, b))) for x, y in pairs for a, b in zip(x, y, strict=True)}
     want = set()
     for i in range(0, len(codes), 500):
@@ -203,14 +203,6 @@ def test_without_near_copies_keeps_columns(edge):
     assert isinstance(kept.toPandas(), pd.DataFrame)
 
 
-def test_spanning_forest_and_closest():
-    a, b, apart = np.array([1, 2, 2, 4, 5]), np.array([0, 1, 0, 3, 3]), np.array([9, 4, 5, 7, 7])
-    kept = G.spanning(a, b, apart, np.array([0, 1, 2, 3, 4, 4]))  # 4 and 5 are one group already
-    assert sorted(kept.tolist()) in ([1, 2, 3], [1, 2, 4])
-    assert G.spanning(a, b, apart, np.zeros(6, np.int64)).tolist() == []
-    assert sorted(G.closest(np.array([3, 1, 3, 1]), np.array([2, 5, 1, 6])).tolist()) == [1, 2]
-
-
 def brute_similar(texts, words=5, at_least=0.8):
     """Groups of texts joined by shingle similarity, each as a set of places."""
     sets = [set(S.shingle_hashes((t or "").encode(), words).tolist()) for t in texts]
@@ -227,6 +219,7 @@ def brute_similar(texts, words=5, at_least=0.8):
 def test_near_copies_against_brute_force(spark, monkeypatch, most):
     """Families of texts around the similarity: no group holds what brute force keeps apart, and few true pairs are missed."""
     monkeypatch.setattr(S, "MOST_IN_BLOCK", most)  # 3: nearly every key is dealt out again in chunks
+    monkeypatch.setattr(S, "MOST_IN_GROUP", most)
     rng = np.random.default_rng(11)
     texts = []
     for _ in range(25):
@@ -245,15 +238,24 @@ def test_near_copies_against_brute_force(spark, monkeypatch, most):
     assert len(joined) >= 0.97 * len(pairs)
 
 
-def test_unsure_links_follow_where_closer_ones_fail(spark, monkeypatch):
-    """A and B are alike; each is closer to C and D, which are like none. A forest of the closest links leaves A-B out."""
-    code = lambda *ranges: np.packbits([any(lo <= i < hi for lo, hi in ranges) for i in range(256)]).tobytes()
-    a, b, c, d = code(), code((16, 56)), code((16, 36), (60, 70)), code((16, 36), (70, 80))
-    true = (max(a, b), min(a, b))
-    monkeypatch.setattr(S, "alike", lambda pairs, *_: pairs.select("a", "b", (F.col("a") == F.lit(true[0])) & (F.col("b") == F.lit(true[1]))).toDF("a", "b", "alike"))
-    keyed = spark.createDataFrame([(bytearray(k), bytearray(x)) for k in (b"\0\0\0\0\0", b"\0\0\1\0\0") for x in (a, b, c, d)], "key binary, fp binary")
-    got = [(bytes(r["node"]), bytes(r["root"])) for r in S.confirmed(keyed, None, None, 256, 50, 15, 5, 0.8).collect()]
-    assert got == [true]
+def test_alike_is_the_exact_similarity():
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 62, 300)
+    sets = [np.unique(np.concatenate([rng.choice(base, int(n), replace=False), rng.integers(0, 1 << 62, int(m))])) for n, m in zip(rng.integers(0, 300, 60), rng.integers(0, 40, 60), strict=True)]
+    sets += [np.empty(0, np.int64), np.empty(0, np.int64), sets[3]]
+    got = set(zip(*(x.tolist() for x in S.alike(sets, 0.6)), strict=True))
+    plain = [set(x.tolist()) for x in sets]
+    assert got == {(i, j) for i, x in enumerate(plain) for j, y in enumerate(plain[:i]) if x and len(x & y) >= 0.6 * len(x | y)} and len(got) > 20
+
+
+def test_a_large_family_is_cut_without_loss(spark, monkeypatch):
+    """A chain of texts, each like the next, of falling lengths: cut by lengths and into chunks, every link is still found."""
+    monkeypatch.setattr(S, "MOST_IN_GROUP", 7)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[: 400 - 9 * i]) for i in range(30)]
+    got = S.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).toPandas().set_index("doc_id")["component_id"]
+    label = brute_similar(texts)
+    assert [got[i] for i in range(30)] == label and len(set(label)) < 30
 
 
 def test_near_copies_recall_on_the_tables(spark):

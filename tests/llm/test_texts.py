@@ -88,24 +88,46 @@ def test_op3_edges(spark, edge, nothing):
 # -- Winnowing -------------------------------------------------------------------------------------------------------------------------
 
 
-def spark_xxhash(parts):
-    """Spark's hash of several strings: each with the hash before as its seed."""
-    h = 42
-    for p in parts:
-        h = xxhash.xxh64_intdigest(p.encode(), h)
-    return h & W.LOW
+def units_of(text):
+    """Units and the places of their first characters, by a plain reading of the rules."""
+    alone = lambda c: 0xE00 <= ord(c) <= 0x109F or 0x1780 <= ord(c) <= 0x17FF or 0x2E80 <= ord(c) <= 0xABFF or ord(c) >= 0xF900
+    out, now = [], ""
+    for i, c in enumerate(text):
+        if c in W.SPACE or alone(c):
+            out += [(now, i - len(now))] if now else []
+            out += [(c, i)] if alone(c) else []
+            now = ""
+            continue
+        now += c
+        if c in W.CUT or len(now) == 32:
+            out, now = [*out, (now, i + 1 - len(now))], ""
+    return [*out, (now, len(text) - len(now))] if now else out
 
 
 def brute_prints(text):
-    units = re.findall(r"[^ \t\n\x0b\f\r]{1,4}", text)
-    hashes = [spark_xxhash(units[i : i + W.GRAM]) for i in range(len(units) - W.GRAM + 1)] if len(units) >= W.GRAM else [spark_xxhash([" ".join(units)])]
-    out = []
-    for end in range(len(hashes) + W.WINDOW - 1):
-        window = [(hashes[i], -i) for i in range(max(0, end - W.WINDOW + 1), min(end + 1, len(hashes)))]
-        h, at = min(window)
-        if (h, -at) not in out:
-            out.append((h, -at))
-    return out
+    """(hash, place) of the prints, by windows one after another."""
+    digest = lambda t: xxhash.xxh64_intdigest(t.encode(), 42)
+    turn = lambda h, by: (h << by | h >> 64 - by) & (1 << 64) - 1 if by else h
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    units = units_of(text)
+    if len(units) < W.GRAM:
+        return [(digest(" ".join(u for u, _ in units)), 0)]
+    grams = []
+    for i in range(len(units) - W.GRAM + 1):
+        h = 0
+        for u, _ in units[i : i + W.GRAM]:
+            h = turn(h, 1) ^ digest(u)  # rolls on
+        grams.append(h)
+    kept = []
+    for end in range(len(grams) + W.WINDOW - 1):
+        i = min(range(max(0, end - W.WINDOW + 1), min(end + 1, len(grams))), key=lambda i: (signed(grams[i]) >> 31, -i))
+        if i not in kept:
+            kept.append(i)
+    return [(grams[i], units[i][1]) for i in kept]
+
+
+def shown(prints):
+    return ",".join(f"{h:x}@{i:x}" for h, i in prints)
 
 
 def test_op4_against_brute_force(spark, docs):
@@ -113,14 +135,13 @@ def test_op4_against_brute_force(spark, docs):
     ids = list(texts)
     got = W.fingerprints(docs).select("doc_id", "n_chars", "edited", W.as_string(F.col("prints")).alias("p"), W.as_string(F.col("edited_prints")).alias("e"), "next_hashes").collect()
     assert sorted(r["doc_id"] for r in got) == ids
-    show = lambda prints: ",".join(f"{h:x}@{i:x}" for h, i in prints)
     for r in got:
         text, after = texts[r["doc_id"]], texts[ids[(ids.index(r["doc_id"]) + 1) % len(ids)]]
         quarter = len(text) // 4
         edited = text[: len(text) - quarter] + after[:quarter]
         assert (r["n_chars"], r["edited"]) == (len(text), edited)
-        assert r["p"] == show(brute_prints(text)) and r["e"] == show(brute_prints(edited))
-        assert sorted(h & 0x7FFFFFFF for h in r["next_hashes"]) == sorted({h for h, _ in brute_prints(after)})
+        assert r["p"] == shown(brute_prints(text)) and r["e"] == shown(brute_prints(edited))
+        assert sorted(h & (1 << 64) - 1 for h in r["next_hashes"]) == sorted({h for h, _ in brute_prints(after)})
 
 
 def test_op4_query_and_edges(spark, edge, nothing, sf_dir):
@@ -128,17 +149,69 @@ def test_op4_query_and_edges(spark, edge, nothing, sf_dir):
     assert out["near_edited"].between(0, 1).all() and out["near_edited"].mean() > 0.4 and out["near_next"].mean() < 0.1
     rows = W.fingerprints(edge).select("doc_id", "n_chars", W.as_string(F.col("prints")).alias("p")).collect()
     assert len(rows) == len(EDGE) and sorted(r["n_chars"] for r in rows) == sorted(len(t or "") for _, t in EDGE)
-    assert len({r["p"] for r in rows}) == len({re.sub(r"\s+", " ", t or "").strip() for _, t in EDGE})
+    assert sorted(r["p"] for r in rows) == sorted(shown(brute_prints(t or "")) for _, t in EDGE)
     assert W.fingerprints(nothing).collect() == []
     one = W.fingerprints(edge.where("doc_id = 9")).first()
     assert one["edited"] == "that ith"
 
 
+def test_op4_next_across_ranges(spark, monkeypatch):
+    """With nearly a range for each row, with rows of one doc_id and of none, every row has its next; ranges are found in two steps."""
+    rows = [(None if i < 5 else 7 if i < 17 else i, f"text {i} " + "xyz " * i) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        got = W.fingerprints(frame).select("doc_id", "n_chars", "edited").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == len(rows)
+    want = []
+    # Rows of one doc_id stand in the order of the table as it was written; their texts tell which that is.
+    placed = [r["text"] for r in frame.collect()]
+    order = sorted(range(40), key=lambda i: (-1 if rows[i][0] is None else rows[i][0], placed.index(rows[i][1])))
+    for i, j in zip(order, [*order[1:], order[0]], strict=True):
+        text, after = rows[i][1], rows[j][1]
+        quarter = len(text) // 4
+        want.append((len(text), text[: len(text) - quarter] + after[:quarter]))
+    assert sorted((r["n_chars"], r["edited"]) for r in got) == sorted(want)
+
+
+def test_op4_prints_of_any_text(spark):
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abozAO059 \n\t日本ไü😀.x"), int(n))) for n in rng.integers(0, 150, 400)] + ["z" * 100 + "a" + "z" * 33]
+    got = {r["t"]: r["p"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", W.as_string(W.winnowed(F.col("t"))).alias("p")).collect()}
+    assert all(got[t] == shown(brute_prints(t)) for t in texts)
+
+
+def prints_of(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", W.winnowed(F.col("t")).alias("p")).orderBy("i").collect()
+    return [{(p["hash"], p["at"]) for p in r["p"]} for r in rows]
+
+
 def test_op4_match_guarantee(spark):
-    """Two texts that share GRAM + WINDOW - 1 units share a fingerprint."""
-    shared = " ".join(f"{c}{c}{c}{c}" for c in string.ascii_lowercase[: W.GRAM + W.WINDOW - 1])
-    rows = spark.createDataFrame([(f"{i} {i * 7} {shared} {i * 3} {i}",) for i in range(30)], "t string").select(W.hashes(W.winnowed(F.col("t"))).alias("h")).collect()
-    assert set.intersection(*(set(r["h"]) for r in rows))
+    """Two texts that share GRAM + WINDOW - 1 units share a print, and its places locate the match in the characters."""
+    shared = " ".join(f"{c}{c}{c}{c}" for c in "bcdfghijklmnpqrstvwxyz"[: W.GRAM + W.WINDOW - 1])
+    texts = [f"{i} {i * 7}  {shared} {i * 3} {i}" for i in range(30)]
+    found = prints_of(spark, texts)
+    common = set.intersection(*({h for h, _ in p} for p in found))
+    assert common
+    for text, p in zip(texts, found, strict=True):
+        for h, at in p:
+            if h in common:
+                assert text[at : at + 4] in shared
+
+
+@pytest.mark.parametrize("kind", ["han", "base64", "thai"])
+def test_op4_shifted_copies_without_spaces(spark, kind):
+    """One character before a text without spaces leaves all but its first prints the same."""
+    rng = np.random.default_rng(9)
+    letters = {"han": [chr(c) for c in range(0x4E00, 0x5200)], "base64": list(string.ascii_letters + string.digits + "+/"), "thai": [chr(c) for c in range(0xE01, 0xE2F)]}[kind]
+    text = "".join(rng.choice(letters, 4000))
+    one, other = prints_of(spark, [text, letters[3] + text])
+    a, b = {h for h, _ in one}, {h for h, _ in other}
+    assert len(a & b) / len(a | b) > 0.95
+    assert sum((h, at + 1) in other for h, at in one) >= 0.95 * len(one)
 
 
 # -- Licenses --------------------------------------------------------------------------------------------------------------------------
