@@ -243,7 +243,7 @@ def dealt_by_length(keyed: DataFrame, similarity: float, most: int) -> DataFrame
 
 def by_key(rows: DataFrame) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key").sortWithinPartitions("key")
+    return rows.repartition(n, "key").sortWithinPartitions("key", "fp")
 
 
 def linked(keyed: DataFrame, bits: int, radius: int) -> DataFrame:

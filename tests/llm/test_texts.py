@@ -94,13 +94,14 @@ def units_of(text):
     out, now = [], ""
     for i, c in enumerate(text):
         if c in W.SPACE or alone(c):
-            out += [(now, i - len(now))] if now else []
-            out += [(c, i)] if alone(c) else []
+            out.extend([(now, i - len(now))] if now else [])
+            out.extend([(c, i)] if alone(c) else [])
             now = ""
             continue
         now += c
         if c in W.CUT or len(now) == 32:
-            out, now = [*out, (now, i + 1 - len(now))], ""
+            out.append((now, i + 1 - len(now)))
+            now = ""
     return [*out, (now, len(text) - len(now))] if now else out
 
 
@@ -118,11 +119,9 @@ def brute_prints(text):
         for u, _ in units[i : i + W.GRAM]:
             h = turn(h, 1) ^ digest(u)  # rolls on
         grams.append(h)
-    kept = []
+    kept = {}
     for end in range(len(grams) + W.WINDOW - 1):
-        i = min(range(max(0, end - W.WINDOW + 1), min(end + 1, len(grams))), key=lambda i: (signed(grams[i]) >> 31, -i))
-        if i not in kept:
-            kept.append(i)
+        kept[min(range(max(0, end - W.WINDOW + 1), min(end + 1, len(grams))), key=lambda i: (signed(grams[i]) >> 31, -i))] = None
     return [(grams[i], units[i][1]) for i in kept]
 
 
