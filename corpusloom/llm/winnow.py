@@ -25,9 +25,9 @@ from .common import text_of, with_locator
 GRAM, WINDOW = 3, 8
 LOW = (1 << 31) - 1
 SPACE = " \t\n\x0b\f\r"
-CUT = "aouAOU0159"  # a unit ends after these
+CUT = "uU05"  # a unit ends after these
 ALONE = r"\x{E00}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{ABFF}\x{F900}-\x{10FFFF}"  # scripts without spaces between words, and symbols
-UNIT = rf"[{SPACE}]*(?:[^{SPACE}{CUT}{ALONE}]{{0,31}}[{CUT}]|[^{SPACE}{CUT}{ALONE}]{{1,32}}|[{ALONE}])"
+UNIT = rf"(?:[^{SPACE}{CUT}{ALONE}]{{0,31}}[{CUT}]|[^{SPACE}{CUT}{ALONE}]{{1,32}}|[{ALONE}])[{SPACE}]*"  # with the white space after it
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -40,81 +40,43 @@ def rotated(x: Column, by: int) -> Column:
 
 
 def rolling(units: Column, gram: int) -> Column:
-    """Of each run of gram hashes the cyclic polynomial: every hash is rotated by the number of those after it, and all are joined by exclusive or."""
-    first = F.slice(units, 1, F.greatest(F.size(units) - gram + 1, F.lit(0)))
+    """Of each run of gram hashes the cyclic polynomial: from hash to hash what there is turns by a bit, and the next is joined by exclusive or."""
+    out = units
+    for k in range(1, gram):
+        out = F.zip_with(F.slice(out, 1, F.greatest(F.size(units) - k, F.lit(0))), F.slice(units, k + 1, F.size(units)), lambda h, u: rotated(h, 1).bitwiseXOR(u))
+    return out
 
-    def of(h: Column, i: Column) -> Column:
-        out = rotated(h, gram - 1)
-        for k in range(1, gram):
-            out = out.bitwiseXOR(rotated(F.get(units, i + k), gram - 1 - k) if gram - 1 > k else F.get(units, i + k))
-        return out
 
-    return F.transform(first, of)
-
-
-def places(pieces: Column, wanted: Column) -> Column:
-    """Of each wanted piece number its hash (wanted: number, hash) and the place of the unit's first character. Lengths are summed by blocks of
-    some square root of the number of pieces, so that neither a place nor a block has many to add."""
-    add = lambda a, b: a + b
-
-    def of_lengths(lengths: Column) -> Column:
-        block = F.greatest(F.sqrt(F.size(lengths)).cast("int"), F.lit(32))
-
-        def of_block(b: Column) -> Column:
-            starts = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / b).cast("int"))
-            return let(F.transform(starts, lambda k: F.slice(lengths, k * b + 1, b)), lambda blocks: of_blocks(b, blocks))
-
-        def of_blocks(b: Column, blocks: Column) -> Column:
-            sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), add))
-            base = F.aggregate(sums, F.array(F.lit(0)), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x)))
-
-            def of_base(base: Column) -> Column:
-                def place(w: Column) -> Column:
-                    i = w["number"]
-                    k = F.floor(i / b).cast("int")
-                    white = F.get(lengths, i) - F.char_length(F.ltrim(F.get(pieces, i), F.lit(SPACE)))
-                    return F.get(base, k) + F.aggregate(F.slice(F.get(blocks, k), 1, i - k * b), F.lit(0), add) + white  # a slice costs as much as its whole array is long
-
-                return F.transform(wanted, lambda w: F.struct(w["hash"].alias("hash"), place(w).alias("at")))
-
-            return let(base, of_base)
-
-        return let(block, of_block)
-
-    return let(F.transform(pieces, lambda p: F.char_length(p)), of_lengths)
+def doubled(values: Column, join: Callable[[Column, Column], Column], span: int) -> Column:
+    """Of each value and the span - 1 after it what join makes of them, by doubling; at the end null stands for what isn't there. Steps beyond the last value are left out."""
+    steps, done = [], 1
+    while done < span:
+        steps.append(min(done, span - done))
+        done += steps[-1]
+    taken = F.filter(F.array(*map(F.lit, steps)), lambda step: step < F.size(values))
+    return F.aggregate(taken, values, lambda v, step: F.zip_with(v, F.slice(v, step + 1, F.size(v)), join))
 
 
 def winnowed(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     """Kept prints (hash, at) in text order."""
-
-    def least(keys: Column, span: int) -> Column:
-        """Least of each key and the span - 1 after it, by doubling; at the end what is there counts."""
-        shifted = lambda step: lambda p: F.zip_with(p, F.slice(p, step + 1, F.size(p)), lambda a, b: F.least(a, b))
-        done = 1
-        while done < span:
-            step = min(done, span - done)
-            keys = let(keys, shifted(step))
-            done += step
-        return keys
-
     low = F.lit(LOW).cast("bigint")
     ahead = F.array_repeat(F.lit((1 << 63) - 1).cast("bigint"), window - 1)
     # A key is the start of the hash, then what is left to the number of the gram, so that the least is the rightmost of equal ones.
     key = lambda h, i: F.shiftleft(F.shiftright(h, 31), 31).bitwiseOR(low - i)
     number = lambda k: (low - k.bitwiseAND(low)).cast("int")
 
-    def of_grams(pieces: Column) -> Callable[[Column], Column]:
-        def of(grams: Column) -> Column:
-            kept = F.array_distinct(least(F.concat(ahead, F.transform(grams, key)), window))
-            return places(pieces, F.transform(kept, lambda k: F.struct(number(k).alias("number"), F.get(grams, number(k)).alias("hash"))))
-
-        return of
+    def of_grams(pieces: Column, grams: Column) -> Column:
+        keys = let(F.concat(ahead, F.transform(grams, key)), lambda keys: doubled(keys, lambda a, b: F.least(a, b), window))
+        # How many characters there are from each piece to the end: pieces hold all from the first one on.
+        from_here = let(F.transform(pieces, lambda p: F.char_length(p)), lambda n: doubled(n, lambda a, b: a + F.coalesce(b, F.lit(0)), 1 << 31))
+        place = lambda rest, n: lambda k: F.struct(F.get(grams, number(k)).alias("hash"), (n - F.get(rest, number(k))).alias("at"))
+        return let(from_here, lambda rest: let(F.char_length(text), lambda n: F.transform(F.array_distinct(keys), place(rest, n))))
 
     def of_pieces(pieces: Column) -> Column:
-        units = F.transform(pieces, lambda p: F.ltrim(p, F.lit(SPACE)))
+        units = F.transform(pieces, lambda p: F.rtrim(p, F.lit(SPACE)))
         whole = F.array(F.struct(F.xxhash64(F.array_join(units, " ")).alias("hash"), F.lit(0).alias("at")))
         grams = let(F.transform(units, lambda u: F.xxhash64(u)), lambda h: rolling(h, gram))
-        return F.when(F.size(pieces) < gram, whole).otherwise(let(grams, of_grams(pieces)))
+        return F.when(F.size(pieces) < gram, whole).otherwise(let(grams, lambda g: of_grams(pieces, g)))
 
     return let(F.regexp_extract_all(text, F.lit(UNIT), 0), of_pieces)
 
