@@ -1,15 +1,14 @@
 """Document fingerprints by winnowing (operator 4). DataFrame and SQL functions only.
 
-A text is read as units, cut where its own characters say so: at white space, after certain letters and digits, and around every
-character of scripts that are written without spaces. A copy that stands elsewhere thus has the same units. Every unit is hashed
-once; the hash of a run of GRAM units is the cyclic-polynomial rolling hash of their hashes (64 bits). Of every window of WINDOW grams the one with the least
+A text is read as units, cut where its own characters say so: after certain letters and digits (every tenth character or so), and
+around every character of scripts that are written without spaces. A copy that stands elsewhere thus has the same units from its
+first cut on. Every unit is hashed once; the hash of a run of GRAM units is the cyclic-polynomial rolling hash of their hashes (64 bits). Of every window of WINDOW grams the one with the least
 hash (its first 33 bits decide) is kept, the rightmost of equal ones, with the place of its first character. Windows hang over both
 ends of the text. Two texts that share GRAM + WINDOW - 1 consecutive units thus share a print, whatever stands around them, and equal
 texts have equal fingerprints.
 
-Defined results: a null text counts as empty; a text of fewer units than a gram is hashed whole; a run of more than 32 characters
-without a cut is cut every 32 from its start (a copy at another place of it then shares units only after the next cut); of rows with
-equal doc_id the next is by place in the table; the only document of a table is its own next; whole texts are read, however long; an
+Defined results: a null text counts as empty; a text of fewer units than a gram is hashed whole; a run of more than LONGEST characters
+without a cut is cut every LONGEST from the last cut on; of rows with equal doc_id the next is by place in the table; the only document of a table is its own next; whole texts are read, however long; an
 empty table gives no rows; only doc_id and text are read.
 """
 
@@ -22,12 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import text_of, with_locator
 
-GRAM, WINDOW = 3, 8
+GRAM, WINDOW = 2, 3
 LOW = (1 << 31) - 1
-SPACE = " \t\n\x0b\f\r"
-CUT = "uU05"  # a unit ends after these
+CUT = "mMuUwWlLgG05"  # a unit ends after these
 ALONE = r"\x{E00}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{ABFF}\x{F900}-\x{10FFFF}"  # scripts without spaces between words, and symbols
-UNIT = rf"(?:[^{SPACE}{CUT}{ALONE}]{{0,31}}[{CUT}]|[^{SPACE}{CUT}{ALONE}]{{1,32}}|[{ALONE}])[{SPACE}]*"  # with the white space after it
+LONGEST = 64
+UNIT = rf"(?s)[^{CUT}{ALONE}]{{0,{LONGEST - 1}}}[{CUT}]|[^{CUT}{ALONE}]{{1,{LONGEST}}}|[{ALONE}]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -73,9 +72,8 @@ def winnowed(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
         return let(from_here, lambda rest: let(F.char_length(text), lambda n: F.transform(F.array_distinct(keys), place(rest, n))))
 
     def of_pieces(pieces: Column) -> Column:
-        units = F.transform(pieces, lambda p: F.rtrim(p, F.lit(SPACE)))
-        whole = F.array(F.struct(F.xxhash64(F.array_join(units, " ")).alias("hash"), F.lit(0).alias("at")))
-        grams = let(F.transform(units, lambda u: F.xxhash64(u)), lambda h: rolling(h, gram))
+        whole = F.array(F.struct(F.xxhash64(text).alias("hash"), F.lit(0).alias("at")))
+        grams = let(F.transform(pieces, lambda p: F.xxhash64(p)), lambda h: rolling(h, gram))
         return F.when(F.size(pieces) < gram, whole).otherwise(let(grams, lambda g: of_grams(pieces, g)))
 
     return let(F.regexp_extract_all(text, F.lit(UNIT), 0), of_pieces)
@@ -130,7 +128,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     before = F.pmod(F.col("part") - 1, F.lit(len(firsts)))
     own, guest = F.struct(F.col("part").alias("part"), F.lit(False).alias("guest")), F.struct(before.alias("part"), F.lit(True).alias("guest"))
     placed = located.withColumns({"part": part, "is_first": is_first}).select(*ORDER, "text", F.explode(F.when(F.col("is_first"), F.array(own, guest)).otherwise(F.array(own))).alias("to")).select(*ORDER, "text", "to.*")
-    read = placed.repartition(len(firsts), "part").withColumns({"prints": winnowed(F.col("text")), "n_chars": F.char_length("text").cast("bigint")}).withColumn("hashes", hashes(F.col("prints")))
+    read = placed.repartitionByRange(len(firsts), "part").withColumns({"prints": winnowed(F.col("text")), "n_chars": F.char_length("text").cast("bigint")}).withColumn("hashes", hashes(F.col("prints")))
     beside = Window.partitionBy("part").orderBy("guest", *ORDER)
     both = read.withColumns({"next_text": F.lead("text").over(beside), "next_hashes": F.lead("hashes").over(beside)}).where("not guest")
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
