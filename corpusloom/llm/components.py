@@ -27,7 +27,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root (the component's least node) for every node that is not its own root. edges: a, b of one comparable type."""
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    # Once ahead of the rounds: links of a group that come from many places mostly fall together here, before the larger step doubles them.
+    now, before = written(_small_star(now).distinct(), "edges"), None
     for _ in range(most_rounds):
         now = written(_small_star(_large_star(now).distinct()).distinct(), "edges")
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
