@@ -81,13 +81,20 @@ def exclude_extensions(extra: Iterable[str] | None) -> tuple[str, ...]:
 
 
 def usable_pattern(pattern: str | None) -> str | None:
-    """The pattern, or None (no filter) where it is empty or no regular expression: Spark would fail on it."""
+    """The pattern, or None (no filter) where it is empty or no regular expression."""
     try:
         return pattern if pattern and re.compile(pattern) else None
     except re.error:
         return None
 
 
+def jvm_pattern(pattern: str) -> str | None:
+    """The pattern as the JVM's dialect writes it (named groups and references, end of text); None where it has forms that only Python has."""
+    out = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern)
+    out = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{m[1].replace('_', '')}>", out).replace("\\Z", "\\z")
+    return None if re.search(r"\(\?P|\(\?\(|\(\?[aLu]|\\N\{|\[\[|&&|\[\]|\[\^\]", out) else out
+
+
 def comma_list(values: Iterable[str] | None) -> tuple[str, ...]:
     return tuple(p.strip() for v in values or () for p in v.split(",") if p.strip())
 
@@ -152,8 +159,9 @@ LISTS = {"--exclude-ext": "exclude_exts", "--ignore-query": "ignore_query_params
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="corpusloom", description="Audit a documentation corpus from tables of URLs and captured responses.")
     p.add_argument("base_url")
-    p.add_argument("--urls", help="Parquet table of discovered URLs (url)")
+    p.add_argument("--urls", help="Parquet table of URLs (url); without it URLs are discovered")
     p.add_argument("--responses", help="Parquet table of captured responses")
+    p.add_argument("--payloads", help="Parquet table of captured robots.txt, llms.txt, sitemaps and search indexes (url, status, content_type, body)")
     for option, dest in FLAGS.items():
         p.add_argument(option, dest=dest, action="store_const", const=True)
     p.add_argument("--frontmatter-no-timestamp", dest="frontmatter_timestamp", action="store_const", const=False)

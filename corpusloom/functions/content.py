@@ -38,7 +38,7 @@ def markdown_h1(text: Column) -> Column:
         end = F.array_position(rest, "---").cast("int")
         open_ = F.element_at(all_, 1) == "---"
         body = F.when(open_ & (end == 0), F.array().cast("array<string>")).when(open_, F.slice(rest, end + 1, F.greatest(F.size(rest) - end, F.lit(0)))).otherwise(all_)
-        return F.trim(F.substring(F.get(F.filter(body, lambda line: line.startswith("# ")), F.lit(0)), 3, 1 << 20))
+        return F.trim(F.substring(F.get(F.filter(body, lambda line: line.startswith("# ")), F.lit(0)), 3, 2147483647))
 
     return F.transform(F.array(lines), after)[0]
 
@@ -49,9 +49,9 @@ def frontmatter(url: Column, fetched_url: Column, fetched_at: Column | None = No
     return F.concat_ws("\n", *lines, F.lit("---"), F.lit(""))
 
 
-def snapshot_name(url: Column, suffix: str, run_id: str = "") -> Column:
+def snapshot_name(url: Column, suffix: str | Column, run_id: str = "") -> Column:
     head = [F.lit(run_id)] if run_id else []
-    return F.concat(F.concat_ws("_", *head, F.substring(F.sha1(url.cast("binary")), 1, 10), F.lit(suffix)), F.lit(".txt"))
+    return F.concat(F.concat_ws("_", *head, F.substring(F.sha1(url.cast("binary")), 1, 10), F.lit(suffix) if isinstance(suffix, str) else suffix), F.lit(".txt"))
 
 
 def truncated(body: Column, most: int, head_ratio: float = 0.7) -> Column:

@@ -178,3 +178,9 @@ def html_path(md: Column) -> Column:
 
 def markdown_twin(url: Column) -> Column:
     return F.when(url.endswith(".md") | url.endswith(".md.txt"), url).otherwise(F.concat(F.regexp_replace(url, "/+$", ""), F.lit(".md")))
+
+
+def relative_to(path: Column, folder: str) -> Column:
+    """The path below the folder; a path elsewhere stays as it is."""
+    prefix = folder.rstrip("/") + "/"
+    return F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 2147483647)).otherwise(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
@@ -32,6 +32,11 @@ OUTCOMES = {
 }
 
 
+#: Outcome -> suffix of its error snapshot; where an HTML outcome has nothing to save, the Markdown's answer is saved under FALLBACK.
+SNAPSHOTS = {4: "markdown", 5: "markdown", 6: "markdown", 7: "markdown", 10: "html_exception", 12: "non_text", 13: "html_http", 14: "non_html_text", 15: "html_to_md"}
+FALLBACK = "markdown_fallback"
+
+
 def http_error(status: Column) -> Column:
     return F.when(status == 429, "http_429").when(status.between(400, 499), "http_4xx").when(status.between(500, 599), "http_5xx")
 
@@ -127,8 +132,18 @@ def md_kind() -> Column:
     return F.when(U.markdown_twin(F.col("url")).endswith(".md.txt"), "markdown_txt").otherwise("markdown")
 
 
+def snapshot(order: Column) -> Column:
+    """suffix and content of the error snapshot that an outcome leaves; null content where there is nothing to save."""
+    filled = lambda c: F.when(c != "", c)
+    markdown = F.coalesce(filled(MD.body), filled(MD.error))
+    own = F.when(order.between(4, 7), markdown).when(order == 10, filled(HTML.error)).when(order.isin(12, 13, 14, 15), HTML.body)
+    suffix = F.element_at(F.array(*[F.lit(SNAPSHOTS.get(k)).cast("string") for k in sorted(OUTCOMES)]), order)
+    fallback = F.when(order.isin(10, 12, 13, 14, 15), markdown)
+    return F.struct(F.when(own.isNotNull(), suffix).when(fallback.isNotNull(), FALLBACK).alias("suffix"), F.coalesce(own, fallback).alias("content"))
+
+
 def records(rows: DataFrame, config: RunConfig) -> DataFrame:
-    """Manifest columns of fetched rows (FETCH_SCHEMA, source, out_path, cached_*, and page: title, h1, markdown, extractor, null where the HTML wasn't parsed)."""
+    """Manifest columns of fetched rows but error_snapshot, and snapshot_suffix, snapshot_content, body and html (FETCH_SCHEMA, source, out_path, cached_*, and page: title, h1, markdown, extractor, null where the HTML wasn't parsed)."""
     order = outcome(config, F.col("page.markdown"))
     body = F.when(F.col("ord") == 3, MD.body).when(F.col("ord") == 16, F.col("page.markdown"))
     by_md = F.col("ord") <= 7
@@ -152,14 +167,11 @@ def records(rows: DataFrame, config: RunConfig) -> DataFrame:
         F.coalesce(pick("etag"), F.when(unchanged, F.col("cached_etag"))).alias("etag"),
         F.coalesce(pick("last_modified"), F.when(unchanged, F.col("cached_last_modified"))).alias("last_modified"),
         F.when(unchanged, F.col("cached_content_hash")).otherwise(C.content_hash(body)).alias("content_hash"),
-        F.lit(None).cast("string").alias("error_snapshot"),
+        snapshot(F.col("ord"))["suffix"].alias("snapshot_suffix"),
+        snapshot(F.col("ord"))["content"].alias("snapshot_content"),
         F.when(F.col("ord") == 3, "markdown").when(F.col("ord").isin(15, 16), F.col("page.extractor")).alias("extractor"),
         F.when(F.col("ord") == 3, h1).when(F.col("ord") == 16, F.col("page.title")).alias("title"),
         h1.alias("h1"),
         body.alias("body"),
+        F.when(F.col("ord") == 16, HTML.body).alias("html"),
     )
-
-
-def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("first__", F.row_number().over(w)).where("first__ = 1").drop("first__")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import quote, unquote, urlsplit
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,8 +78,3 @@ def delayed_rate(rate: float, delay: float | None) -> float:
     """The lower of the configured rate and one request per crawl delay; 0 means unset."""
     by_delay = 1 / delay if delay else 0.0
     return by_delay if rate <= 0 else rate if by_delay <= 0 else min(rate, by_delay)
-
-
-def origin_of(url: str) -> str:
-    split = urlsplit(url)
-    return f"{split.scheme}://{split.netloc}"

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import RunConfig, usable_pattern
+from ..config import RunConfig, jvm_pattern, usable_pattern
 from ..functions import urls as U
 
 
@@ -18,14 +21,28 @@ def scoped(df: DataFrame, prefix: str | None) -> DataFrame:
     return df.where(U.in_scope(F.col("url"), prefix)) if prefix else df
 
 
+def found_in(url: Column, pattern: str) -> Column:
+    """Whether the pattern is found in the URL: by the JVM, or in batches by Python where only Python reads the pattern."""
+    java = jvm_pattern(pattern)
+    if java is not None:
+        return url.rlike(java)
+
+    @F.pandas_udf("boolean")
+    def search(urls: pd.Series) -> pd.Series:
+        ready = re.compile(pattern)
+        return urls.map(lambda u: u is not None and ready.search(u) is not None)
+
+    return search(url)
+
+
 def filter_note(url: Column, config: RunConfig) -> Column:
     """Why a URL is rejected: excluded_extension, then filtered_out; null if it is kept. Extensions only ever add to the defaults."""
     include, exclude = usable_pattern(config.include_regex), usable_pattern(config.exclude_regex)
     passes = F.lit(True)
     if include:
-        passes = passes & url.rlike(include)
+        passes = passes & found_in(url, include)
     if exclude:
-        passes = passes & ~url.rlike(exclude)
+        passes = passes & ~found_in(url, exclude)
     return F.when(U.has_extension(url, config.exclude_exts), "excluded_extension").when(~passes, "filtered_out")
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
@@ -16,20 +16,35 @@ from ..functions import urls as U
 from ..functions.html import page_parts
 from ..operators import robots as R
 from ..operators.urls import filter_note
+from ..shared import written
 
 
-def _written(df: DataFrame, folder: str) -> DataFrame:
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+def resolve(base: Column, href: Column) -> Column:
+    """An href against the page it stands on, as RFC 3986 has it, but for two things that urljoin does too: references with the base's scheme and no
+    authority are relative, and what climbs above the root stays there."""
+    clean = F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    parts = lambda url: F.struct(*[U.part(url, k).alias(n) for n, k in (("scheme", U.SCHEME), ("netloc", U.NETLOC), ("path", U.PATH), ("query", U.QUERY), ("fragment", U.FRAGMENT))], U.params(url).alias("params"))
+    return U.let(parts(base), lambda b: U.let(clean, lambda h: U.let(parts(h), lambda r: F.when(h == "", base).otherwise(_resolved(b, h, r)))))
 
 
-def resolve(base, href):
-    """An href against the page it stands on: absolute URLs, absolute paths and paths relative to the page's folder."""
-    origin = F.concat(U.part(base, U.SCHEME), F.lit("://"), U.part(base, U.NETLOC))
-    folder = F.regexp_replace(U.part(base, U.PATH), r"[^/]*$", "")
-    joined = F.concat(F.when(folder == "", "/").otherwise(folder), F.regexp_replace(href, r"^\./", ""))
-    joined = F.regexp_replace(joined, r"/(?!\.\./)[^/]+/\.\./", "/")
-    return F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(U.part(base, U.SCHEME), F.lit(":"), href)).when(href.startswith("/"), F.concat(origin, href)).otherwise(F.concat(origin, joined))
+def _resolved(b: Column, href: Column, r: Column) -> Column:
+    mark = lambda sign, text: F.when(text == "", "").otherwise(F.concat(F.lit(sign), text))
+    whole = lambda netloc, path, params, query: F.concat(F.lower(b["scheme"]), F.lit("://"), netloc, F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)), mark(";", params), mark("?", query), mark("#", r["fragment"]))
+    folder = F.split(b["path"], "/")
+    folder = F.when(F.element_at(folder, -1) == "", folder).otherwise(F.slice(folder, 1, F.size(folder) - 1))
+    inner = lambda all_: F.concat(F.slice(all_, 1, 1), F.filter(F.slice(all_, 2, F.greatest(F.size(all_) - 2, F.lit(0))), lambda x: x != ""), F.when(F.size(all_) > 1, F.slice(all_, -1, 1)).otherwise(F.array().cast("array<string>")))
+    segments = F.when(r["path"].startswith("/"), F.split(r["path"], "/")).otherwise(U.let(F.concat(folder, F.split(r["path"], "/")), inner))
+
+    def joined(all_: Column) -> Column:
+        step = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+        kept = F.aggregate(all_, F.array().cast("array<string>"), step)
+        path = F.array_join(F.concat(kept, F.when(F.element_at(all_, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/")
+        return F.when(path == "", "/").otherwise(path)
+
+    here = (r["path"] == "") & (r["params"] == "")
+    beside = F.when(here, whole(b["netloc"], b["path"], b["params"], F.when(r["query"] == "", b["query"]).otherwise(r["query"]))).otherwise(whole(b["netloc"], U.let(segments, joined), r["params"], r["query"]))
+    foreign = (r["scheme"] != "") & (F.lower(r["scheme"]) != F.lower(b["scheme"]))
+    return F.when(foreign, href).when(r["netloc"] != "", whole(r["netloc"], r["path"], r["params"], r["query"])).otherwise(beside)
 
 
 def edges(pages: DataFrame, config: RunConfig) -> DataFrame:
@@ -52,12 +67,12 @@ def crawl(pages: DataFrame, config: RunConfig, folder: str, robots_txt: str | No
         fits = fits & (F.octet_length("html") <= config.max_body_bytes)
     good = pages.where(fits & filter_note(F.col("url"), config).isNull() & (R.allowed(F.col("url"), group["rules"]) if group else F.lit(True)))
     if links is None:
-        links = _written(edges(good.select("url", "html"), config), f"{folder}/edges")
+        links = written(edges(good.select("url", "html"), config), f"{folder}/edges")
     in_scope = U.same_origin(F.col("dst"), U.normalize_url(F.lit(config.base_url))) & (F.lit(True) if scope == "/" else U.part(F.col("dst"), U.PATH).startswith(scope))
     links = links.where(in_scope)
 
     seed = spark.range(1).select(U.normalize_url(F.lit(config.base_url), config.ignore_query_params, config.ignore_query_prefixes).alias("url"), F.lit(0).cast("bigint").alias("rank"))
-    visited = _written(seed, f"{folder}/level-0")
+    visited = written(seed, f"{folder}/level-0")
     frontier, count = visited, 1
     for depth in range(1, config.max_depth + 1):
         if count >= config.max_pages > 0:
@@ -69,7 +84,7 @@ def crawl(pages: DataFrame, config: RunConfig, folder: str, robots_txt: str | No
         if config.max_pages > 0:
             ordered = ordered.limit(config.max_pages - count)
         # Places in the sorted level: partitions hold ranges in order, so the rows' own ids rise in queue order.
-        frontier = _written(ordered.select("url", (F.monotonically_increasing_id() + F.lit(depth << 50)).alias("rank")), f"{folder}/level-{depth}")
+        frontier = written(ordered.select("url", (F.monotonically_increasing_id() + F.lit(depth << 50)).alias("rank")), f"{folder}/level-{depth}")
         more = frontier.count()
         if not more:
             break

@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
+from ..functions import content as C
 from ..functions import urls as U
 from ..functions.html import page_parts
 from ..operators import fetch as D
 from ..operators import robots as R
 from ..operators import urls as O
 from ..schema import MANIFEST_SCHEMA, MANIFEST_VERSION
+from ..shared import written
 
 STAGES = {"filtered": 0, "robots": 1, "limited": 2, "collision": 3, "skip_existing": 4, "fetched": 5}
 
@@ -24,8 +26,11 @@ STAGES = {"filtered": 0, "robots": 1, "limited": 2, "collision": 3, "skip_existi
 @dataclass
 class Run:
     manifest: DataFrame  # MANIFEST_SCHEMA
-    bodies: DataFrame  # url, out_path, body of pages that are ok
+    bodies: DataFrame  # url, out_path, body of pages that are ok; body with frontmatter where that is asked for
+    html: DataFrame  # path, text of the HTML files to keep; none unless they are asked for
+    snapshots: DataFrame  # path, text of the error snapshots that the quota admits; none unless they are asked for
     urls: DataFrame  # after the limit, before robots: the lines of urls.txt
+    scheduled: DataFrame  # url: what is left to fetch
 
 
 def rejected(df: DataFrame, note: str | Column, stage: str, source: str, fetched: str = "url") -> DataFrame:
@@ -40,11 +45,17 @@ def path_of(config: RunConfig, url: Column | None = None) -> Column:
     return U.output_path(url, config.output_dir, config.site_root, config.base_url or None, config.ignore_query_params, config.ignore_query_prefixes)
 
 
-def plan_urls(urls: DataFrame, config: RunConfig, source: str) -> tuple[DataFrame, list[DataFrame]]:
+def kept_aside(df: DataFrame, folder: str | None, name: str) -> DataFrame:
+    """df, written to the folder that executors share and read back, where one is given: what several branches read is then computed once."""
+    return df if folder is None else written(df, f"{folder}/{name}")
+
+
+def plan_urls(urls: DataFrame, config: RunConfig, source: str, folder: str | None = None) -> tuple[DataFrame, list[DataFrame]]:
     """(URLs kept, with out_path; records of those filtered out, lost to collisions and over the limit)."""
     canonical = O.scoped(O.normalized(urls.select("url"), config), config.scope_prefix).withColumn("note", O.filter_note(F.col("url"), config))
+    canonical = kept_aside(canonical, folder, "canonical")
     filtered = rejected(canonical.where("note is not null"), F.col("note"), "filtered", source)
-    mapped = O.with_winner(canonical.where("note is null").select("url").distinct(), path_of(config))
+    mapped = kept_aside(O.with_winner(canonical.where("note is null").select("url").distinct(), path_of(config)), folder, "mapped")
     collisions = rejected(mapped.where("url <> winner"), "path_collision", "collision", source, "winner")
     unique = mapped.where("url = winner").select("url", "out_path")
     kept = O.first_urls(unique, config.max_pages)
@@ -52,9 +63,11 @@ def plan_urls(urls: DataFrame, config: RunConfig, source: str) -> tuple[DataFram
     return kept, [filtered, *limited, collisions]
 
 
-def run(urls: DataFrame, responses: DataFrame, config: RunConfig, source: str = "sitemap", robots_txt: str | None = None, existing: DataFrame | None = None, cache: DataFrame | None = None, run_id: str | None = None) -> Run:
-    """urls: url. responses: FETCH_SCHEMA. existing: out_path. cache: url, etag, last_modified, content_hash."""
-    kept, records = plan_urls(urls, config, source)
+def run(urls: DataFrame, responses: DataFrame, config: RunConfig, source: str = "sitemap", robots_txt: str | None = None, existing: DataFrame | None = None, cache: DataFrame | None = None, run_id: str | None = None, folder: str | None = None, fetched_at: str | None = None) -> Run:
+    """urls: url. responses: FETCH_SCHEMA. existing: out_path. cache: url, etag, last_modified, content_hash.
+
+    folder: a fresh one that executors share, for what several branches read. fetched_at: the time that frontmatter states."""
+    kept, records = plan_urls(urls, config, source, folder)
     scheduled, disallowed, _ = R.split_by_robots(kept, None if config.ignore_robots else robots_txt, config.user_agent)
     records.append(rejected(disallowed, "robots_disallow", "robots", source))
     if existing is not None and config.skip_existing:
@@ -71,7 +84,28 @@ def run(urls: DataFrame, responses: DataFrame, config: RunConfig, source: str =
     others = rows.where(~needs).withColumn("page", F.lit(None).cast(parsed.schema["page"].dataType))
     fetched = D.records(parsed.unionByName(others), config)
     stamped = {"run_id": F.lit(run_id).cast("string"), "manifest_version": F.lit(MANIFEST_VERSION)}
-    manifest = fetched.drop("body").withColumns(stamped).withColumn("stage_ord", F.lit(STAGES["fetched"])).select(*MANIFEST_SCHEMA.names, "stage_ord")
+    named = with_snapshots(fetched, config, run_id or "")
+    text = C.truncated(F.col("snapshot_content"), config.error_snapshot_max_bytes, config.error_snapshot_sample_ratio)
+    taken = named.where("error_snapshot is not null").select(F.col("error_snapshot").alias("path"), text.alias("text"))
+    manifest = named.withColumns(stamped).withColumn("stage_ord", F.lit(STAGES["fetched"])).select(*MANIFEST_SCHEMA.names, "stage_ord")
     for r in records:
         manifest = manifest.unionByName(r.withColumns(stamped))
-    return Run(manifest, fetched.where("status = 'ok'").select("url", "out_path", "body"), kept.select("url"))
+    ok = fetched.where("status = 'ok'")
+    head = C.frontmatter(F.col("url"), F.col("fetched_url"), F.lit(fetched_at) if fetched_at and config.frontmatter_timestamp else None)
+    bodies = ok.select("url", "out_path", F.concat(head, F.col("body")).alias("body") if config.frontmatter else F.col("body"))
+    html = ok.where(F.col("html").isNotNull() & F.lit(config.save_html)).select(U.html_path(F.col("out_path")).alias("path"), F.col("html").alias("text"))
+    return Run(manifest, bodies, html, taken, kept.select("url"), scheduled.select("url"))
+
+
+def with_snapshots(fetched: DataFrame, config: RunConfig, run_id: str) -> DataFrame:
+    """Adds error_snapshot: the path of a row's snapshot, null where there is nothing to save, none is asked for, or the quota is used up. With a quota snapshots are
+    admitted in the order of a hash of their URLs."""
+    folder = f"{config.report_dir or config.output_dir + '/_report'}/_errors/"
+    path = F.concat(F.lit(folder), C.snapshot_name(F.col("url"), F.col("snapshot_suffix"), run_id))
+    named = fetched.withColumn("error_snapshot", F.when(F.col("snapshot_content").isNotNull() & F.lit(config.save_error_html), path))
+    if not config.save_error_html or (config.error_snapshot_max_files <= 0 and config.error_snapshot_max_total_bytes <= 0):
+        return named
+    text = C.truncated(F.col("snapshot_content"), config.error_snapshot_max_bytes, config.error_snapshot_sample_ratio)
+    sized = named.where("error_snapshot is not null").select("url", F.lit(run_id).alias("run_id"), F.xxhash64("url").alias("ord"), F.octet_length(text).cast("bigint").alias("size"))
+    admitted = O.snapshot_quota(sized, config.error_snapshot_max_files, config.error_snapshot_max_total_bytes).select("url", F.lit(True).alias("admitted"))
+    return named.join(admitted, "url", "left").withColumn("error_snapshot", F.when(F.col("admitted"), F.col("error_snapshot"))).drop("admitted")

@@ -45,6 +45,17 @@ def report_scalars(manifest: DataFrame) -> DataFrame:
     )
 
 
+def count_maps(counts: dict[str, dict[str, int]]) -> dict:
+    """The count maps of a report, keys sorted, from dimension -> key -> count."""
+    named = {f"{d}_counts": dict(sorted(counts.get(d, {}).items())) for d in ("status", "http_status", "content_type", "note", "error_kind", "extractor")}
+    return {**named, "error_count": counts.get("error", {}).get("errors", 0)}
+
+
+def plan_scalars(manifest: DataFrame) -> DataFrame:
+    """One row: filtered_urls (after filters, collisions, limit and robots) and scheduled_urls (those left to fetch), from a run's manifest with stage_ord."""
+    return manifest.agg(F.count_if(F.col("stage_ord") >= 4).alias("filtered_urls"), F.count_if(F.col("stage_ord") >= 5).alias("scheduled_urls"))
+
+
 def toc(paths: DataFrame) -> DataFrame:
     """parts, line of each folder and file on the way to the paths (column path, relative): every prefix once, indented by depth.
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import dataclasses
 import functools
+import gzip
 from collections.abc import Callable
+from html import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ from .plans import crawl as CR
 from .plans import pipeline as P
 from .plans import views as V
 from .schema import FETCH_SCHEMA
+from .shared import new_folder
+from .sources import discovery as DI
 from .streaming import ledger
 
 CONFIG = RunConfig(output_dir="out", max_pages=100, ignore_query_prefixes=("utm_",))
@@ -31,7 +36,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = f"{BASE}\n{sql}"
+            SQL[f.__name__] = sql if sql.startswith("WITH") else f"{BASE}\n{sql}"
         return f
 
     return add
@@ -177,12 +182,12 @@ def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, sf_dir: str, config: RunConfig = RUN) -> DataFrame:
-    return P.run(pages(spark, sf_dir).select("url"), captured(spark, sf_dir), config, robots_txt=ROBOTS, run_id="0123456789ab").manifest
+    return P.run(pages(spark, sf_dir).select("url"), captured(spark, sf_dir), config, robots_txt=ROBOTS, run_id="0123456789ab", folder=new_folder(spark, "run")).manifest
 
 
 @query(f"{MANIFEST_SQL} SELECT url, note FROM rejected")
 def rejected_records(spark, sf_dir, config=RUN):
-    kept, records = P.plan_urls(pages(spark, sf_dir).select("url"), config, "sitemap")
+    kept, records = P.plan_urls(pages(spark, sf_dir).select("url"), config, "sitemap", new_folder(spark, "run"))
     _, disallowed, _ = R.split_by_robots(kept, ROBOTS, config.user_agent)
     out = P.rejected(disallowed, "robots_disallow", "robots", "sitemap")
     for r in records:
@@ -402,21 +407,12 @@ def content_types(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", C.is_textual(kind).alias("textual"), C.is_probable_html(kind, F.col("html")).alias("html"), C.content_type_name(kind).alias("name"))
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A fresh folder that executors share: below spark.checkpoint.dir, or a temporary one where that is unset."""
-    import tempfile
-    import uuid
-
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(found or 'file://' + tempfile.mkdtemp(prefix='corpusloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"{SUMMARY_SQL} SELECT * FROM counts")
 def stream_summary(spark, sf_dir, config=RUN):
     """Counts of a ledger taken in as a stream; the same as those of a batch."""
     from .sources import manifest as M
 
-    folder = _shared(spark, "ledger")
+    folder = new_folder(spark, "ledger")
     M.append(manifest(spark, sf_dir, config).drop("stage_ord"), f"{folder}/rows")
     ledger.stream_summary(ledger.ledger_stream(spark, f"{folder}/rows"), f"{folder}/state", f"{folder}/counts")
     return spark.read.parquet(f"{folder}/counts")
@@ -427,6 +423,90 @@ def ok_urls(spark, sf_dir, config=RUN):
     return O.ok_urls(manifest(spark, sf_dir, config))
 
 
+# -- Discovery and crawl -------------------------------------------------------------------------------------------------------------------
+
+_ORIGIN = "lower(scheme) || '://' || lower(netloc)"
+
+
+@query(f"""SELECT page_id, line_no, place, url FROM (SELECT page_id, 1 AS line_no, 0 AS place, canonical AS url FROM norm UNION ALL SELECT page_id, 2, 0, {_ORIGIN} || '/docs/' || page_id FROM norm
+UNION ALL SELECT page_id, 2, 1, {_ORIGIN} || '/api' FROM norm UNION ALL SELECT page_id, 2, 2, {_ORIGIN} || '/bare' FROM norm)""")
+def llms_links(spark, sf_dir):
+    """Of an llms.txt made for each page: a line that is a URL, Markdown links, and a URL outside them."""
+    origin = F.concat(U.part(F.col("url"), U.SCHEME), F.lit("://"), U.part(F.col("url"), U.NETLOC))
+    body = F.concat(F.lit("# Docs\n  "), F.substring_index("url", "#", 1), F.lit("\r\n- see "), origin, F.lit("/bare) [A]("), origin, F.lit("/docs/"), F.col("page_id").cast("string"), F.lit("/), [B]("), origin, F.lit("/api) [no](mailto:x)\nplain"))
+    return DI.llms_links(pages(spark, sf_dir).select("page_id", body.alias("body"))).select("page_id", "pos.line_no", F.col("pos.at").alias("place"), "url")
+
+
+@query(f"""SELECT page_id, 'urlset' AS kind, loc FROM (SELECT page_id, split_part(url, '#', 1) AS loc FROM parts UNION ALL SELECT page_id, scheme || '://' || netloc || '/s/a/' || page_id FROM parts) WHERE page_id % 3 <> 2
+UNION ALL SELECT page_id, 'index', scheme || '://' || netloc || '/up.xml' FROM parts WHERE page_id % 3 = 2""")
+def sitemap_locs(spark, sf_dir):
+    """Of a sitemap made for each page: plain, gzipped, or an index; places are absolute or relative to it."""
+
+    @F.pandas_udf("binary")
+    def payload(ids: pd.Series, urls: pd.Series) -> pd.Series:
+        out = []
+        for i, url in zip(ids, urls, strict=True):
+            entries = "<sitemap><loc>../up.xml</loc></sitemap><url><loc>no</loc></url>" if i % 3 == 2 else f"<url><loc> {escape(url.split('#')[0])} </loc><image><loc>no</loc></image></url><url><loc>a/{i}</loc></url>"
+            root = "sitemapindex" if i % 3 == 2 else "urlset"
+            xml = f'<{root} xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">{entries}</{root}>'.encode()
+            out.append(gzip.compress(xml) if i % 3 == 1 else xml)
+        return pd.Series(out)
+
+    origin = F.concat(U.part(F.col("url"), U.SCHEME), F.lit("://"), U.part(F.col("url"), U.NETLOC))
+    place = F.concat(origin, F.lit("/s/map.xml"), F.when(F.col("page_id") % 3 == 1, ".gz").otherwise(""))
+    return DI.sitemap_locs(pages(spark, sf_dir).select("page_id", place.alias("url"), F.lit("text/xml").alias("content_type"), payload("page_id", "url").alias("body")))
+
+
+@query(f"""SELECT page_id, url FROM (SELECT page_id, {_ORIGIN} || '/p/' || page_id AS url FROM norm UNION ALL SELECT page_id, split_part(url, '#', 1) FROM norm UNION ALL SELECT page_id, {_ORIGIN} || '/s/l' FROM norm) WHERE page_id % 5 <> 4""")
+def search_links(spark, sf_dir):
+    """Of a search index made for each page: entries of a list and its own; every fifth isn't JSON."""
+    none = F.lit(None).cast("string")
+    one = F.struct(F.concat(F.lit("/p/"), F.col("page_id").cast("string")).alias("path"), F.lit("t").alias("title"), none.alias("location"))
+    other = F.struct(none.alias("path"), none.alias("title"), F.substring_index("url", "#", 1).alias("location"))
+    body = F.when(F.col("page_id") % 5 == 4, "{").otherwise(F.to_json(F.struct(F.array(one, other).alias("pages"), F.lit("l").alias("url"), F.lit(1).alias("id"))))
+    origin = F.concat(F.lower(U.part(F.col("url"), U.SCHEME)), F.lit("://"), F.lower(U.part(F.col("url"), U.NETLOC)))
+    return DI.search_links(pages(spark, sf_dir).select("page_id", F.concat(origin, F.lit("/s/index.json")).alias("url"), body.cast("binary").alias("body")))
+
+
+@query("""SELECT page_id, pos, href, url FROM (SELECT page_id, 0 AS pos, '?p=2' AS href, scheme || '://' || netloc || path || '?p=2' AS url FROM parts UNION ALL SELECT page_id, 1, '/x/../y/./z', scheme || '://' || netloc || '/y/z' FROM parts
+UNION ALL SELECT page_id, 2, '../../../../../w/', scheme || '://' || netloc || '/w/' FROM parts UNION ALL SELECT page_id, 3, './k', scheme || '://' || netloc || regexp_replace(path, '[^/]*$', '') || 'k' FROM parts
+UNION ALL SELECT page_id, 4, '//o.example/q', scheme || '://o.example/q' FROM parts UNION ALL SELECT page_id, 5, '#f', scheme || '://' || netloc || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END || '#f' FROM parts)""")
+def link_resolution(spark, sf_dir):
+    hrefs = ["?p=2", "/x/../y/./z", "../../../../../w/", "./k", "//o.example/q", "#f"]
+    each = pages(spark, sf_dir).select("page_id", "url", F.posexplode(F.array(*map(F.lit, hrefs))).alias("pos", "href"))
+    return each.select("page_id", "pos", "href", CR.resolve(F.col("url"), F.col("href")).alias("url"))
+
+
+@query("""WITH RECURSIVE ok AS (SELECT page_id FROM pages WHERE page_id % 11 <> 5 AND page_id <> 3),
+seen(page_id) AS (SELECT page_id FROM ok WHERE page_id = 0 UNION SELECT o.page_id FROM seen s JOIN ok o ON o.page_id BETWEEN 8 * s.page_id + 1 AND 8 * s.page_id + 8)
+SELECT 'https://docs.example.org/p/' || page_id AS url FROM seen""")
+def bfs_crawl(spark, sf_dir):
+    """A crawl over all pages, each with links to eight others by relative hrefs; every eleventh can't be read, and one is excluded."""
+    p = F.col("page_id")
+    link = lambda k: F.concat(F.lit('<a href="../p/./'), (8 * p + k).cast("string"), F.lit('?utm_source=x">x</a>'))
+    html = F.concat(F.lit('<html><a href="/out/x">o</a><a href="#top">t</a>'), *[link(k) for k in range(1, 9)])
+    own = F.concat(F.lit("https://docs.example.org/p/"), p.cast("string"))
+    captured_ = pages(spark, sf_dir).select(own.alias("url"), F.when(p % 11 == 5, 404).otherwise(200).alias("status"), F.lit("text/html").alias("content_type"), html.alias("html"))
+    config = RunConfig(base_url="https://docs.example.org/p/0", max_pages=0, max_depth=64, exclude_regex="/p/3$")
+    return CR.crawl(captured_, config, new_folder(spark, "crawl"))
+
+
+@query("""SELECT page_id, CASE k WHEN 4 THEN 'html_http' WHEN 5 THEN 'non_text' WHEN 6 THEN 'non_text' WHEN 7 THEN 'non_html_text' WHEN 8 THEN 'markdown_fallback' END AS suffix
+FROM (SELECT page_id, page_id % 12 AS k FROM pages) WHERE k BETWEEN 4 AND 8""")
+def error_snapshots(spark, sf_dir):
+    """What each failed or refused page leaves as an error snapshot."""
+    rows = simulated(spark, sf_dir).withColumn("md_error", F.when(F.col("page_id") % 12 == 8, "no answer"))
+    order = D.outcome(RunConfig(max_body_bytes=1000), F.col("html_body"))
+    return rows.select("page_id", D.snapshot(order).alias("s")).where("s.content is not null").select("page_id", "s.suffix")
+
+
+@query("SELECT page_id, (starts_with(canonical, 'https://www.') OR regexp_matches(canonical, '://m\\.')) AS conditional, regexp_matches(canonical, '/(0[0-9]*0|1[0-9]*1|2[0-9]*2|3[0-9]*3|4[0-9]*4|5[0-9]*5|6[0-9]*6|7[0-9]*7|8[0-9]*8|9[0-9]*9)') AS named FROM norm")
+def python_pattern(spark, sf_dir):
+    """A pattern that only Python reads (a conditional group) beside one that the JVM reads once it is rewritten."""
+    rows = O.normalized(pages(spark, sf_dir).select("page_id", "url"), CONFIG)
+    return rows.select("page_id", O.found_in(F.col("url"), r"(?P<https>https)?://(?(https)www|m)\.").alias("conditional"), O.found_in(F.col("url"), r"/(?P<n>\d)\d*(?P=n)").alias("named"))
+
+
 # -- Whole runs: the queries above that share RUN, without its page limit ------------------------------------------------------------------
 
 WHOLE = dataclasses.replace(RUN, max_pages=0)

@@ -6,23 +6,26 @@ from __future__ import annotations
 
 import gzip
 import json
-import re
 from collections.abc import Iterator
 from urllib.parse import urljoin
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import content as C
 from ..functions import urls as U
 from ..operators.urls import same_origin_as
-
-LINK = r"\[[^\]]*\]\((https?://[^)\s]+)\)|(https?://[^\s)\]]+)"
-# Where sitemaps and search indexes are usually found.
-SITEMAP_PATHS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemap/sitemap.xml", "/sitemap.xml.gz", "/sitemap_index.xml.gz", "/docs/sitemap.xml"]
-SEARCH_PATHS = ["search-index.json", "search_index.json", "search/search_index.json", "search.json", "index.json", "searchindex.json", "assets/search.json"]
+from ..shared import new_folder, written
+
+# Targets of inline Markdown links, and URLs that stand by themselves in what is left of a line.
+TARGET = r"\]\((https?://[^\s)]+)\)"
+BARE = r"https?://[^\s)\]]+"
+# Where sitemaps and search indexes are looked for, in this order.
+SITEMAP_PATHS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemap.xml.gz", "/sitemap_index.xml.gz", "/sitemap-index.xml.gz", "/sitemap.gz"]
+SEARCH_PATHS = ["search/search_index.json", "search_index.json", "search-index.json", "search.json", "index.json", "assets/search.json", "search/search-index.json"]
 SEARCH_KEYS = ["docs", "documents", "entries", "pages", "index"]
 
 
@@ -37,16 +40,23 @@ def first_candidate(found: DataFrame) -> DataFrame:
     return found.join(F.broadcast(found.agg(F.min("rank").alias("best"))), F.col("rank") == F.col("best")).drop("best")
 
 
+def llms_links(texts: DataFrame) -> DataFrame:
+    """texts: body and further columns. Of each its further columns, pos and url (canonical): a line that starts with a URL is one as a whole; then the targets
+    of a line's Markdown links, then the URLs that stand outside them."""
+    kept = [c for c in texts.columns if c != "body"]
+    lines = texts.select(*kept, F.posexplode(F.split(F.col("body").cast("string"), C.LINE_ENDS)).alias("line_no", "line"))
+    line = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
+    whole = F.when(line.rlike("^https?://"), F.array(line)).otherwise(F.array().cast("array<string>"))
+    found = F.concat(whole, F.regexp_extract_all(line, F.lit(TARGET), 1), F.regexp_extract_all(F.regexp_replace(line, TARGET, " "), F.lit(BARE), 0))
+    each = lines.select(*kept, "line_no", F.posexplode(found).alias("at", "raw"))
+    return each.select(*kept, F.struct("line_no", "at").alias("pos"), U.normalize_url(F.col("raw")).alias("url"))
+
+
 def llms_urls(responses: DataFrame, base_url: str, most_bytes: int = 0) -> DataFrame:
-    """url, pos: same-origin URLs of the most specific llms.txt that has any. A line that starts with a URL gives the whole line and each link in it."""
+    """url, pos: same-origin URLs of the most specific llms.txt that has any, each where it stands first."""
     names = [f"{b}/llms.txt" for b in U.candidate_bases(base_url)]
     ranks = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-    texts = bodies(responses, most_bytes).where(F.col("url").isin(names)).select(ranks[F.col("url")].alias("rank"), F.posexplode(F.split(F.col("body").cast("string"), C.LINE_ENDS)).alias("line_no", "line"))
-    line = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
-    whole = F.when(line.rlike("^https?://"), F.array(line)).otherwise(F.array().cast("array<string>"))
-    links = F.transform(F.regexp_extract_all(line, F.lit(LINK), 0), lambda m: F.when(m.startswith("["), F.regexp_extract(m, LINK, 1)).otherwise(m))
-    each = texts.select("rank", "line_no", F.posexplode(F.concat(whole, links)).alias("at", "raw"))
-    urls = each.select("rank", U.normalize_url(F.col("raw")).alias("url"), F.struct("line_no", "at").alias("pos"))
+    urls = llms_links(bodies(responses, most_bytes).where(F.col("url").isin(names)).select(ranks[F.col("url")].alias("rank"), "body"))
     return first_candidate(same_origin_as(urls.groupBy("rank", "url").agg(F.min("pos").alias("pos")), base_url)).drop("rank")
 
 
@@ -59,7 +69,7 @@ def llms_full(responses: DataFrame, base_url: str) -> DataFrame:
 
 def inflated(body: bytes, url: str, content_type: str | None) -> bytes:
     """Gunzipped where the name or type says so; as it is where that fails."""
-    if url.lower().split("?")[0].endswith(".gz") or "gzip" in (content_type or "").lower():
+    if url.endswith(".gz") or "gzip" in (content_type or "").lower():
         try:
             return gzip.decompress(body)
         except (OSError, EOFError):
@@ -68,44 +78,52 @@ def inflated(body: bytes, url: str, content_type: str | None) -> bytes:
 
 
 def parse_sitemap(body: bytes) -> tuple[str, list[str]]:
-    """('index', 'urlset' or 'unknown', locations). Names match whatever their case and namespace; only a url's own loc counts."""
+    """('index', 'urlset' or 'unknown', locations). Names match whatever their case and namespace; only the loc of a sitemap or url of its own counts."""
     try:
         root = ElementTree.fromstring(body)
     except ElementTree.ParseError:
         return "unknown", []
     name = lambda e: str(e.tag).rpartition("}")[2].lower()
-    kind = {"sitemapindex": "index", "urlset": "urlset"}.get(name(root), "unknown")
-    return kind, [loc.text.strip() for entry in root for loc in entry if name(loc) == "loc" and loc.text and loc.text.strip()] if kind != "unknown" else []
+    kind, entries = {"sitemapindex": ("index", "sitemap"), "urlset": ("urlset", "url")}.get(name(root), ("unknown", ""))
+    return kind, [loc.text.strip() for entry in root if name(entry) == entries for loc in entry if name(loc) == "loc" and loc.text and loc.text.strip()]
+
+
+def sitemap_locs(payloads: DataFrame, most_bytes: int = 0) -> DataFrame:
+    """payloads: url, content_type, body and further columns. Further columns, kind and loc (absolute) of every location; too large ones, once inflated, have none."""
+    fields = [f for f in payloads.schema.fields if f.name not in ("url", "content_type", "body")]
 
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for url, content_type, body, *kept in zip(rows["url"], rows["content_type"], rows["body"], *(rows[f.name] for f in fields), strict=True):
+                whole = inflated(bytes(body or b""), url, content_type)
+                kind, found = parse_sitemap(whole) if most_bytes <= 0 or len(whole) <= most_bytes else ("unknown", [])
+                out += [(*kept, kind, loc if loc.startswith(("http://", "https://")) else urljoin(url, loc)) for loc in found]
+            yield pd.DataFrame(out, columns=[*(f.name for f in fields), "kind", "loc"])
 
-def _sitemaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        out = []
-        for url, content_type, body in zip(rows["url"], rows["content_type"], rows["body"], strict=True):
-            kind, found = parse_sitemap(inflated(bytes(body or b""), url, content_type))
-            out += [(kind, loc if loc.startswith(("http://", "https://")) else urljoin(url, loc)) for loc in found]
-        yield pd.DataFrame(out, columns=["kind", "loc"])
+    schema = T.StructType([*fields, T.StructField("kind", T.StringType()), T.StructField("loc", T.StringType())])
+    return payloads.select("url", "content_type", "body", *[f.name for f in fields]).mapInPandas(parse, schema)
 
 
 def sitemap_seeds(responses: DataFrame, base_url: str) -> list[str]:
     """Sitemap lines of robots.txt, which replace the usual places."""
     origin = U.candidate_bases(base_url)[-1]
-    robots = bodies(responses).where(F.col("url") == f"{origin}/robots.txt").select("body").first()
-    named = re.findall(r"(?im)^\s*sitemap:\s*(\S+)", robots["body"].decode("utf-8", "ignore")) if robots else []
-    return named or [origin + p for p in SITEMAP_PATHS]
+    lines = (robots_text(responses, base_url) or "").splitlines()
+    return [line[8:].strip() for line in lines if line[:8].lower() == "sitemap:"] or [origin + p for p in SITEMAP_PATHS]
 
 
-def sitemap_urls(responses: DataFrame, base_url: str, most_bytes: int = 0, most_levels: int = 50) -> DataFrame:
-    """url: same-origin URLs of all sitemaps reached. Each level is a join of the sitemaps to read with the payloads; an anti join stops cycles."""
+def sitemap_urls(responses: DataFrame, base_url: str, most_bytes: int = 0) -> DataFrame:
+    """url: same-origin URLs of all sitemaps reached, however deep. Each level is a join of the sitemaps to read with the payloads; an anti join stops cycles."""
     spark = responses.sparkSession
     payloads = bodies(responses, most_bytes).select("url", "content_type", "body")
     todo = spark.createDataFrame([(u,) for u in sitemap_seeds(responses, base_url)], "url string").distinct()
-    seen, urls = todo, None
-    for _ in range(most_levels):
-        parsed = payloads.join(todo, "url", "left_semi").mapInPandas(_sitemaps, "kind string, loc string").persist()
+    seen = written(todo, new_folder(spark, "sitemaps"))
+    todo, urls = seen, None
+    while True:
+        parsed = written(sitemap_locs(payloads.join(todo, "url", "left_semi"), most_bytes), new_folder(spark, "locations"))
         found = parsed.where("kind = 'urlset'").select(F.col("loc").alias("url"))
         urls = found if urls is None else urls.unionByName(found)
-        todo = parsed.where("kind = 'index'").select(F.col("loc").alias("url")).distinct().join(seen, "url", "left_anti")
+        todo = written(parsed.where("kind = 'index'").select(F.col("loc").alias("url")).distinct().join(seen, "url", "left_anti"), new_folder(spark, "sitemaps"))
         if todo.isEmpty():
             break
         seen = seen.unionByName(todo)
@@ -122,25 +140,37 @@ def json_urls(data: object, base: str) -> list[str]:
     return []
 
 
-def search_index_urls(responses: DataFrame, base_url: str, most_bytes: int = 0) -> DataFrame:
-    names = [f"{b}/{p}" for b in U.candidate_bases(base_url) for p in SEARCH_PATHS]
-    ranks = {n: i for i, n in enumerate(names)}
+def search_links(payloads: DataFrame, base_url: str | None = None) -> DataFrame:
+    """payloads: url, body and further columns. Further columns and url of every entry of a search index, against base_url, or else the payload's own URL; what isn't JSON has none."""
+    fields = [f for f in payloads.schema.fields if f.name not in ("url", "body")]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for url, body in zip(rows["url"], rows["body"], strict=True):
+            for url, body, *kept in zip(rows["url"], rows["body"], *(rows[f.name] for f in fields), strict=True):
                 try:
-                    out += [(ranks[url], u) for u in json_urls(json.loads(bytes(body or b"")), base_url)]
+                    out += [(*kept, u) for u in json_urls(json.loads(bytes(body or b"")), base_url or url)]
                 except ValueError:
                     continue
-            yield pd.DataFrame(out, columns=["rank", "url"])
+            yield pd.DataFrame(out, columns=[*(f.name for f in fields), "url"])
+
+    return payloads.select("url", "body", *[f.name for f in fields]).mapInPandas(walk, T.StructType([*fields, T.StructField("url", T.StringType())]))
 
-    found = bodies(responses, most_bytes).where(F.col("url").isin(names)).select("url", "body").mapInPandas(walk, "rank int, url string")
+
+def search_index_urls(responses: DataFrame, base_url: str, most_bytes: int = 0) -> DataFrame:
+    names = [f"{b}/{p}" for b in U.candidate_bases(base_url) for p in SEARCH_PATHS]
+    ranks = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
+    found = search_links(bodies(responses, most_bytes).where(F.col("url").isin(names)).select("url", "body", ranks[F.col("url")].alias("rank")), base_url)
     canonical = found.select("rank", U.normalize_url(F.col("url")).alias("url")).distinct()
     return first_candidate(same_origin_as(canonical, base_url)).select("url").orderBy("url")
 
 
+def robots_text(responses: DataFrame, base_url: str) -> str | None:
+    """The captured robots.txt of the base's origin."""
+    found = bodies(responses).where(F.col("url") == f"{U.candidate_bases(base_url)[-1]}/robots.txt").select("body").first()
+    return found["body"].decode("utf-8", "ignore") if found else None
+
+
 def discover(responses: DataFrame, base_url: str, crawl=None, most_bytes: int = 0) -> tuple[str, DataFrame] | None:
     """(source, urls) of the first source with any URL: llms.txt, sitemap, search index, then the crawl given."""
     for source, find in (("llms_txt", llms_urls), ("sitemap", sitemap_urls), ("search_index", search_index_urls)):
@@ -150,7 +180,3 @@ def discover(responses: DataFrame, base_url: str, crawl=None, most_bytes: int =
     if crawl is not None:
         return "bfs", crawl()
     return None
-
-
-def empty_responses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "url string, status int, content_type string, body binary")

@@ -39,8 +39,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(MANIFEST_SCHEMA).parquet(folder)
 
 
-def index(manifest: DataFrame) -> DataFrame:
-    return manifest.select(*INDEX_COLUMNS)
+def index(manifest: DataFrame, by_url: bool = False) -> DataFrame:
+    return manifest.select(*INDEX_COLUMNS).orderBy("url") if by_url else manifest.select(*INDEX_COLUMNS)
 
 
 def save_atomically(path: str, text: str) -> None:

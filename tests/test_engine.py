@@ -194,6 +194,89 @@ def test_command_line(spark, tmp_path):
     assert main(["https://e.com", "--urls", str(tmp_path / "urls"), "--out", out, "--scope-prefix", "/none"]) == 2
 
 
+def captured_site(spark, tmp_path, **payloads):
+    page = lambda *hrefs: "<html><head><title>T</title></head><body><h1>H</h1><p>text</p>" + "".join(f'<a href="{h}">x</a>' for h in hrefs) + "</body></html>"
+    html = {"md_status": 404, "html_status": 200, "html_content_type": "text/html"}
+    responses(
+        spark,
+        {"url": "https://e.com/docs", **html, "html_body": page("docs/a", "docs/b", "docs/no/x")},
+        {"url": "https://e.com/docs/a", **html, "html_body": page("../docs/c")},
+        {"url": "https://e.com/docs/b", "md_status": 404, "md_body": "twin", "html_status": 500, "html_content_type": "text/html", "html_body": "é" * 40},
+        {"url": "https://e.com/docs/c", "md_status": 200, "md_content_type": "text/markdown", "md_body": "# C\n", **{k: v for k, v in html.items() if k != "md_status"}, "html_body": page()},
+        {"url": "https://e.com/docs/no/x", **html, "html_body": page()},
+    ).write.parquet(str(tmp_path / "answers"))
+    rows = [(f"https://e.com/{n}", 200, "text/plain", b.encode()) for n, b in {"robots.txt": "User-agent: *\nDisallow: /docs/no", **payloads}.items()]
+    spark.createDataFrame(rows, "url string, status int, content_type string, body binary").write.parquet(str(tmp_path / "payloads"))
+    return ["https://e.com/docs", "--responses", str(tmp_path / "answers"), "--payloads", str(tmp_path / "payloads"), "--out", str(tmp_path / "out")]
+
+
+def test_command_line_crawls_where_nothing_is_listed(spark, tmp_path):
+    from corpusloom.cli import main
+
+    args = captured_site(spark, tmp_path)
+    assert main([*args, "--frontmatter", "--save-html", "--error-snapshot-max-bytes", "50", "--manifest-sorted"]) == 0
+    out = tmp_path / "out"
+    report = json.loads((out / "_report/report.json").read_text())
+    assert (report["discovery_source"], report["ok"], report["filtered_urls"], report["scheduled_urls"]) == ("bfs", 3, 3, 3)
+    assert report["status_counts"] == {"ok": 3} and report["extractor_counts"] and report["error_count"] == 0
+    text = (out / "docs/a.md").read_text()
+    assert text.startswith("---\nsource_url: https://e.com/docs/a\nfetched_url: https://e.com/docs/a\nfetched_at_utc: ") and "# H" in text
+    assert (out / "docs/a.html").read_text().startswith("<html>") and not (out / "docs/c.html").exists()  # c's Markdown twin decided
+    assert (out / "_report/toc.md").read_text().splitlines() == ["- docs", "  - a.md", "  - c.md", "- docs.md"]
+    index = [json.loads(line) for f in sorted((out / "_report/index").glob("*.json")) for line in f.read_text().splitlines()]
+    assert [r["out_path"] for r in index] == ["docs.md", "docs/a.md", "docs/c.md"]
+    assert (out / "_report/urls.txt").read_text().split() == ["https://e.com/docs", "https://e.com/docs/a", "https://e.com/docs/c"]
+    assert not list((out / "_report").glob("_work-*"))
+
+
+def test_command_line_discovers_and_snapshots(spark, tmp_path):
+    from corpusloom.cli import main
+
+    args = captured_site(spark, tmp_path, **{"docs/llms.txt": "# D\n- [b](https://e.com/docs/b)\n- [n](https://e.com/docs/no/x)\nhttps://e.com/docs/a\n"})
+    assert main([*args, "--error-snapshot-max-bytes", "50", "--frontmatter", "--frontmatter-no-timestamp"]) == 0
+    report = json.loads((tmp_path / "out/_report/report.json").read_text())
+    assert (report["discovery_source"], report["total"], report["ok"], report["failed"], report["skipped"]) == ("llms_txt", 3, 1, 1, 1)
+    assert report["note_counts"] == {"html_fetch_failed": 1, "robots_disallow": 1} and report["error_kind_counts"] == {"http_5xx": 1}
+    (snapshot,) = (tmp_path / "out/_report/_errors").glob("*_html_http.txt")
+    assert len(snapshot.read_bytes()) <= 50 and "[truncated]" in snapshot.read_text()
+    rows = M.read(spark, str(tmp_path / "out/_report/manifest")).collect()
+    assert {r["url"]: r["error_snapshot"] for r in rows if r["error_snapshot"]} == {"https://e.com/docs/b": str(snapshot)}
+    assert "fetched_at_utc" not in (tmp_path / "out/docs/a.md").read_text()
+    assert main([*args, "--dry-run"]) == 0 and main([*args, "--ignore-robots", "--no-save-error-html", "--out", str(tmp_path / "o2")]) == 0
+    again = json.loads((tmp_path / "o2/_report/report.json").read_text())
+    assert again["ok"] == 2 and not (tmp_path / "o2/_report/_errors").exists()
+
+
+def test_snapshots_fall_back_and_keep_to_the_quota(spark):
+    rows = responses(spark, *[{"url": f"https://e.com/{i}", "md_status": 404, "md_body": "twin" * i, "html_status": 500 if i else None, "html_content_type": "text/html", "html_body": None} for i in range(5)], {"url": "https://e.com/x", "md_status": 404, "html_error": "boom"})
+    urls = rows.select("url")
+    paths = lambda **k: {r["url"]: r["error_snapshot"] for r in P.run(urls, rows, cfg.RunConfig(**k), run_id="r").manifest.collect() if r["error_snapshot"]}
+    every = paths()
+    assert len(every) == 5 and every["https://e.com/x"].endswith("_html_exception.txt") and every["https://e.com/3"].endswith("_markdown_fallback.txt")
+    assert len(paths(error_snapshot_max_files=2)) == 2 and paths(save_error_html=False) == {}
+    few = P.run(urls, rows, cfg.RunConfig(error_snapshot_max_total_bytes=12), run_id="r")
+    assert sum(len(r["text"]) for r in few.snapshots.collect()) <= 12 and few.snapshots.count() >= 1
+
+
+def test_patterns_of_both_dialects(spark):
+    rows = spark.createDataFrame([("https://e.com/aa",), ("https://e.com/ab",), (None,)], "url string")
+    for pattern in (r"(?P<n_1>a)(?P=n_1)\Z", r"(a)(?(1)a)$"):
+        assert [r["x"] for r in rows.select(F.coalesce(O.found_in(F.col("url"), pattern), F.lit(False)).alias("x")).collect()] == [True, False, False]
+
+
+def test_sitemaps_of_any_depth(spark):
+    ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    rows = [(f"https://e.com/{name}", "text/xml", body.encode()) for name, body in [("sitemap.xml", f"<sitemapindex {ns}><sitemap><loc>/s1.xml</loc></sitemap><sitemap><loc>/sitemap.xml</loc></sitemap></sitemapindex>"), *[(f"s{i}.xml", f"<sitemapindex {ns}><sitemap><loc>/s{i + 1}.xml</loc></sitemap></sitemapindex>") for i in range(1, 6)], ("s6.xml", f"<urlset {ns}><url><loc>/deep</loc></url></urlset>")]]
+    assert [r["url"] for r in DI.sitemap_urls(payloads(spark, *rows), "https://e.com").collect()] == ["https://e.com/deep"]
+    assert DI.llms_full(payloads(spark, ("https://e.com/llms-full.txt", "text/plain", b"all")), "https://e.com/docs").first()["url"] == "https://e.com/llms-full.txt"
+
+
+def test_ledger_replaced_in_order(spark, tmp_path):
+    run = P.run(spark.createDataFrame([("https://e.com/b",), ("https://e.com/a",)], "url string"), responses(spark), cfg.RunConfig(), run_id="r")
+    M.overwrite_sorted(run.manifest.drop("stage_ord"), str(tmp_path / "m"))
+    assert [r["url"] for r in M.read(spark, str(tmp_path / "m")).collect()] == ["https://e.com/a", "https://e.com/b"]
+
+
 def test_html_after_much_white_space(spark):
     from pyspark.sql import functions as F
 

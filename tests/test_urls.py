@@ -68,3 +68,28 @@ def test_paths(spark):
 def test_scopes():
     assert [U.crawl_scope(u) for u in ("https://e.com", "https://e.com/docs/", "https://e.com/docs", "https://e.com/docs/index.html", "https://e.com/a/b")] == ["/", "/docs", "/docs", "/docs", "/a"]
     assert U.candidate_bases("https://e.com/a/b/c") == ["https://e.com/a/b", "https://e.com/a", "https://e.com"]
+
+
+def test_resolve_like_urljoin(spark):
+    """Random references against random bases, all in two jobs."""
+    import itertools
+    import random
+    from urllib.parse import urljoin
+
+    from corpusloom.plans.crawl import resolve
+
+    bases = ["https://e.com", "https://e.com/", "https://e.com/a", "https://e.com/a/b/c/d", "https://e.com/a/b/", "http://e.com:8080/a/b;p?q=1#f", "https://e.com//a//b", "https://e.com/a/./b/../c"]
+    hrefs = ["", "?p=2", "#x", "?p=2#x", ".", "..", "./", "../", "/", "/x/../y", "././z", "../../x", "../../../../x/", "x//y", "/x//y/", "//o.com/z/../w", "//o.com", "http://o.com/../a", "HTTPS://e.com/A/../b", "https:x", "https:/y", "mailto:a@b", "x;p", ";p", "x?y#z", "x/./y/../", "..x", "x..", " x", "a\tb", "é/ü", "x?", "x#", "%2e%2e/x"]
+    rng = random.Random(3)
+    hrefs += ["".join(rng.choice(["a", ".", "..", "/", "?", "#", ";", "b"]) for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    pairs = [(b, h) for b, h in itertools.product(bases, hrefs)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, b string, h string").select("i", resolve(F.col("b"), F.col("h")).alias("u")).collect()
+    wrong = [(pairs[r["i"]], r["u"], urljoin(*pairs[r["i"]])) for r in rows if r["u"] != urljoin(*pairs[r["i"]])]
+    assert wrong == []
+
+
+def test_relative_to(spark):
+    from corpusloom.functions.urls import relative_to
+
+    rows = spark.createDataFrame([("out/a/b.md",), ("outer/a.md",), (None,)], "p string").select(relative_to(F.col("p"), "out/").alias("r")).collect()
+    assert [r["r"] for r in rows] == ["a/b.md", "outer/a.md", None]
