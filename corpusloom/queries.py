@@ -428,7 +428,7 @@ def ok_urls(spark, sf_dir, config=RUN):
 _ORIGIN = "lower(scheme) || '://' || lower(netloc)"
 
 
-@query(f"""SELECT page_id, line_no, place, url FROM (SELECT page_id, 1 AS line_no, 0 AS place, canonical AS url FROM norm UNION ALL SELECT page_id, 2, 0, {_ORIGIN} || '/docs/' || page_id FROM norm
+@query(f"""SELECT page_id, line_no, place, url FROM (SELECT page_id, 1 AS line_no, unnest([0, 1]) AS place, canonical_all AS url FROM norm UNION ALL SELECT page_id, 2, 0, {_ORIGIN} || '/docs/' || page_id FROM norm
 UNION ALL SELECT page_id, 2, 1, {_ORIGIN} || '/api' FROM norm UNION ALL SELECT page_id, 2, 2, {_ORIGIN} || '/bare' FROM norm)""")
 def llms_links(spark, sf_dir):
     """Of an llms.txt made for each page: a line that is a URL, Markdown links, and a URL outside them."""
