@@ -15,9 +15,11 @@ BROADCAST_BYTES = 24 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; only a local session (tests) may do without that setting."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("corpusloom.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("corpusloom.shared.dir", found)
         atexit.register(_remove, spark, found)
@@ -41,10 +43,6 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return uri
 
 
-def drop_folder(spark: SparkSession, uri: str) -> None:
-    _remove(spark, uri)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: lineage is cut, and any executor may be lost after it."""
     spark = df.sparkSession

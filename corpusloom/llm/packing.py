@@ -2,11 +2,12 @@
 
 Documents are tokenised and, where longer than a sequence, cut into pieces; a bin (sequence) has three capacities: tokens,
 documents and attention cost (sum of squared lengths). Pieces are dealt evenly over shards of bounded size by a hash of
-their place; within a shard, pieces go longest first to the feasible bin that scores best: the smallest weighted norm of what
+their document, number and ids and the document's place in its file, so that a table packed twice gives the same sequences; within a shard, pieces go longest first to the feasible bin that scores best: the smallest weighted norm of what
 remains, or the largest weighted dot product of demand and what remains. A whole piece of full length needs no search.
 
-Defined results: a null text is empty (one piece, the end id); repeated rows are packed as often as they occur; an empty table
-gives no rows.
+Defined results: a null text is empty (one piece, the end id); repeated rows are packed as often as they occur; pieces of one length go by
+doc_id, number and ids, the largest first, and bins of one score by their age; whole texts are packed, however long; an empty table
+gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import text_of, with_locator, written
 from .tokenize import byte_bpe
 
 #: Pieces in one shard: a task packs so many, in bounded memory. A shard wastes a bin or two at its end, one in ten thousand.
@@ -36,19 +37,20 @@ def pieces_of(n: int, size: int) -> Iterator[tuple[int, int]]:
 
 
 def token_pieces(docs: DataFrame, path: str, end_id: int, size: int) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
+    """doc_id, piece, start, length, ids_crc32 of every piece of every document, and row_at: the document's place in its file."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_bpe(path)
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, row_at, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 ids = np.array([*encode(text), end_id], "<u4")
-                out += [(doc_id, i, s, n, zlib.crc32(ids[s : s + n].tobytes())) for i, (s, n) in enumerate(pieces_of(len(ids), size))]
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[2:]]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                out += [(doc_id, i, s, n, zlib.crc32(ids[s : s + n].tobytes()), row_at) for i, (s, n) in enumerate(pieces_of(len(ids), size))]
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[2:]]], names=["doc_id", "piece", "start", "length", "ids_crc32", "row_at"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    located = with_locator(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("bigint").alias("doc_id"), "row_at", text_of().alias("text"))
+    return located.mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, row_at bigint")
 
 
 def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: int, score: str = "norm", weights: tuple = (1.0, 0.05, 0.05)) -> tuple[np.ndarray, np.ndarray]:
@@ -100,19 +102,18 @@ def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: int, s
 def pack(docs: DataFrame, path: str, end_id: int = 2, tokens: int = 1024, documents: int = 1024, attention: int = 1024 * 1024, score: str = "norm") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     pieces = written(token_pieces(docs, path, end_id, tokens), "pieces")
-    at = pieces.metadataColumn("_metadata")
     parts = pieces.where(F.col("length") < tokens)
     shards = max(1, -(-parts.count() // SHARD_PIECES))
     placed_schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 
     def place(shard: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=False, kind="stable")
+        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32", "row_at"], ascending=False, kind="stable")
         bins, offsets = best_fit(rows["length"].to_numpy(np.int64), tokens, documents, attention, score)
-        return rows.drop(columns="shard").assign(sequence_id=(int(shard[0]) << 32) + bins, offset=offsets)
+        return rows.drop(columns=["shard", "row_at"]).assign(sequence_id=(int(shard[0]) << 32) + bins, offset=offsets)
 
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64(at["file_path"], at["row_index"]), F.lit(shards)))
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "row_at"), F.lit(shards)))
     some = dealt.groupBy("shard").applyInPandas(place, placed_schema)
-    whole = pieces.where(F.col("length") == tokens).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    whole = pieces.where(F.col("length") == tokens).drop("row_at").select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     return some.unionByName(whole)
 
 

@@ -1,11 +1,13 @@
 """Tool-call linking and canonical chat records (operator 8). DataFrame and SQL functions only.
 
-Calls and results are joined by identifier; a call may name the call that must come before it, and pointer doubling gives each
-call its place in that order in as many rounds as the logarithm of the longest chain; arguments are checked against the schema of
-their tool; each record is serialised as JSON with sorted keys and no white space.
+Calls and results are joined by identifier; a call may name the calls that must come before it (one, or an array), and its ordinal is the
+length of the longest chain of them: calls with one predecessor are ordered by pointer doubling, those with several by rounds of
+calls whose predecessors are all ordered. Arguments are checked against the schema of their tool; each record is serialised as JSON with
+sorted keys and no white space. Numbers keep their kind, not their spelling: 1e2 is written 100.0, 1.50 is written 1.5, and 1 stays 1;
+strings are escaped as little as JSON allows (quotes, backslashes and control characters), so \\u00e9 is written é.
 
 Defined results: of calls (or results) that repeat an identifier the least counts, and copies tells how many there were; a
-result without a call is an orphan; a call that must follow an unknown call stands first; calls in a cycle get no ordinal; null
+result without a call is an orphan; a call that must follow an unknown call stands first; calls in a cycle, or after one, get no ordinal; null
 or malformed arguments are invalid and serialise as null; empty tables give no rows.
 """
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import written
 
@@ -41,20 +44,41 @@ def valid_arguments(name: Column, arguments: Column, schemas: dict) -> Column:
 
 
 def ordinals(calls: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """call_id and ordinal: how many calls must come before it. calls: call_id (unique), after. Cycles get null."""
-    known = calls.select(F.col("call_id").alias("known"))
-    now = calls.join(known, calls.after == known.known, "left").select("call_id", F.col("known").alias("jump"), F.when(F.col("known").isNull(), 0).otherwise(1).cast("bigint").alias("steps"))
+    """call_id and ordinal: the length of the longest chain of calls that must come before it; null for calls in a cycle or after one.
+
+    calls: call_id (unique), after: the call before it, or an array of such. Calls with one predecessor jump, by pointer doubling, to the
+    nearest call before them that has none or several; those with several are then ordered in rounds (Kahn), as many as the longest chain of such calls."""
+    several = isinstance(calls.schema["after"].dataType, T.ArrayType)
+    each = calls.select("call_id", F.explode(F.col("after") if several else F.array("after")).alias("before")).where("before is not null").distinct()
+    links = written(each.join(calls.select(F.col("call_id").alias("before")), "before"), "links")
+    counted = links.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.min("before").alias("one"))
+    start = calls.select("call_id").join(counted, "call_id", "left").withColumn("single", F.coalesce(F.col("n") == 1, F.lit(False)))
+    now = start.select("call_id", F.when(F.col("single"), F.col("one")).otherwise(F.col("call_id")).alias("at"), F.col("single").cast("bigint").alias("steps"), (~F.col("single")).alias("done"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("many"))
     now = written(now, "order")
     for _ in range(most_rounds):
-        if now.where("jump is not null").isEmpty():
-            return now.select("call_id", F.col("steps").alias("ordinal"))
-        ahead = now.select(F.col("call_id").alias("there"), F.col("jump").alias("next"), F.col("steps").alias("more"))
-        now = written(now.join(ahead, now.jump == ahead.there, "left").select("call_id", F.col("next").alias("jump"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "order")
-    return now.select("call_id", F.when(F.col("jump").isNull(), F.col("steps")).alias("ordinal"))
+        if now.where("not done").isEmpty():
+            break
+        ahead = now.select(F.col("call_id").alias("there"), F.col("at").alias("next"), F.col("steps").alias("more"), F.col("done").alias("ends"))
+        moved = now.where("not done").join(ahead, F.col("at") == F.col("there")).select("call_id", F.col("next").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("done"), "many")
+        now = written(now.where("done").unionByName(moved), "order")
+    placed = now.where("done").select("call_id", "at", "steps")
+    levels = written(now.where("done and steps = 0 and not many").select(F.col("call_id").alias("at"), F.lit(0).cast("bigint").alias("level")), "levels")
+    waiting = now.where("many").select("call_id")
+    if not waiting.isEmpty():
+        # Each predecessor as the call that it hangs on and its distance; null where that can't be told for a cycle.
+        edges = written(links.join(waiting, "call_id", "left_semi").join(placed.toDF("before", "at", "steps"), "before", "left").select("call_id", "at", (F.col("steps") + 1).alias("steps")), "edges")
+        while True:
+            ready = edges.join(levels, "at", "left").groupBy("call_id").agg(F.count_if(F.col("level").isNull()).alias("open"), F.max(F.col("level") + F.col("steps")).alias("level"))
+            new = written(ready.where("open = 0").select(F.col("call_id").alias("at"), "level").join(levels.select("at"), "at", "left_anti"), "levels")
+            if new.isEmpty():
+                break
+            levels = written(levels.unionByName(new), "levels")
+    found = placed.join(levels, "at").select("call_id", (F.col("level") + F.col("steps")).alias("ordinal"))
+    return calls.select("call_id").join(found, "call_id", "left")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
-    """calls: call_id, after, name, arguments (JSON), conv_id, turn. results: call_id, content, conv_id, turn.
+    """calls: call_id, after (a call_id or an array of such), name, arguments (JSON), conv_id, turn. results: call_id, content, conv_id, turn.
 
     One row per call and per orphaned result: conv_id, turn, call_id, kind, ordinal, linked, valid, copies, json."""
     once = calls.groupBy("call_id").agg(F.min(F.struct("conv_id", "turn", "name", "arguments", "after")).alias("c"), F.count(F.lit(1)).alias("copies")).select("call_id", "c.*", "copies")

@@ -47,6 +47,28 @@ def test_op1_state_carries_over(spark, tmp_path):
     assert {(bytes(r["digest"]), r["keep"]["doc_id"], r["group_size"]) for r in store.winners().collect()} == {(b"a", 9, 2), (b"b", 2, 1)}
 
 
+@pytest.mark.parametrize("digest", [X.sha256, lambda t: F.unhex(F.substring(F.sha2(t.cast("binary"), 256), 1, 2))])
+def test_op1_two_ingests_equal_one(spark, docs, edge, tmp_path, digest):
+    """Documents taken into a store in two runs come out as those of one run; the weak digest lets bytes decide across the two."""
+    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    half = docs.select("doc_id", "text").where("doc_id % 3 = 0").unionByName(docs.select("doc_id", "text").where("doc_id < 40"))
+    store = f"file://{tmp_path}/store"
+    X.exact_dedup(half, digest, store=store)
+    X.exact_dedup(edge, digest, store=store)
+    got = X.exact_dedup(docs, digest, store=store).select(columns).toPandas()
+    want = X.exact_dedup(half.unionByName(edge.select("doc_id", "text")).unionByName(docs.select("doc_id", "text")), digest).select(columns).toPandas()
+    key = lambda frame: sorted(map(repr, frame[["doc_id", "keep_id", "group_size", "text_sha256"]].astype(object).where(frame.notna(), None).itertuples(index=False)))
+    assert key(got) == key(want) and got["kept"].sum() == want["kept"].sum() and len(got) > len(docs.columns)
+
+
+def test_op1_large_groups_meet_their_winner(spark, docs, monkeypatch):
+    monkeypatch.setattr(X, "HOT_ROWS", 1)
+    one = X.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").toPandas()
+    monkeypatch.undo()
+    other = X.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").toPandas()
+    assert one.sort_values("doc_id").reset_index(drop=True).equals(other.sort_values("doc_id").reset_index(drop=True))
+
+
 def test_op1_empty(nothing):
     assert X.exact_dedup(nothing).collect() == []
     assert X.kept_documents(nothing).columns == nothing.columns

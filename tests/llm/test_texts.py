@@ -303,6 +303,32 @@ def test_op8_links_orders_and_validates(spark):
     assert json.loads(got["e"]["json"])["arguments"] is None
 
 
+def test_op8_orders_a_graph(spark):
+    """A diamond, a long chain into it, a call with predecessors of different depth, a cycle and what comes after it; against plain recursion."""
+    before = {"a": [], "b": ["a"], "c": ["a"], "d": ["b", "c"], "e": ["d"], "f": ["e", "a", None], "g": ["f", "d", "unknown"], "x": ["y", "a"], "y": ["x"], "z": ["y", "d"], "w": ["z"], "self": ["self"], "one": ["gone"]}
+    before |= {f"k{i}": [f"k{i - 1}"] if i else [] for i in range(30)} | {"m": ["k29", "d"], "n": ["m", "k3"], "o": ["n"]}
+
+    def depth(c, seen=()):
+        if c in seen:
+            return None
+        found = [depth(p, (*seen, c)) for p in before[c] if p in before]
+        return None if None in found else 1 + max(found) if found else 0
+
+    calls = spark.createDataFrame(list(before.items()), "call_id string, after array<string>")
+    got = {r["call_id"]: r["ordinal"] for r in TC.ordinals(calls).collect()}
+    assert got == {c: depth(c) for c in before} and got["d"] == 2 and got["m"] == 30 and got["o"] == 32 and got["w"] is None
+
+
+def test_op8_canonical_numbers_and_long_texts(spark):
+    text = "x" * 300_000
+    calls = [("a", None, "reply", '{ "turn" : 1, "prompt" : "\\u00e9\\/" }', 1, 0), ("b", None, "t", '{"y":1e2,"x":[1.50,1,true,null]}', 1, 1), ("c", None, "reply", json.dumps({"prompt": text, "turn": 2}), 1, 2)]
+    rows = spark.createDataFrame(calls, "call_id string, after string, name string, arguments string, conv_id bigint, turn bigint")
+    got = {r["call_id"]: r for r in TC.link(rows, spark.createDataFrame([], "call_id string, content string, conv_id bigint, turn bigint"), TC.CHAT_SCHEMAS).collect()}
+    assert got["a"]["json"].startswith('{"arguments":{"prompt":"é/","turn":1},') and got["a"]["valid"]
+    assert got["b"]["json"].startswith('{"arguments":{"x":[1.5,1,true,null],"y":100.0},')
+    assert got["c"]["valid"] and json.loads(got["c"]["json"])["arguments"]["prompt"] == text
+
+
 def test_op8_edges(spark):
     schema = "conv_id bigint, turn bigint, role string, text string, call_id string, json string"
     rows = [(1, 0, "user", None, "x", "y"), (1, 1, "assistant", "a", None, None), (1, 1, "assistant", "a", None, None), (None, 0, "user", "t", None, None), (1, None, "assistant", "t", None, None), (2, 0, None, "t", None, None), (2, 0, None, "t", None, None), (3, 5, "assistant", "", None, None)]

@@ -86,6 +86,47 @@ def test_op2_every_capacity_holds(lengths, documents, attention, score):
         assert (np.cumsum(mine[order]) - mine[order] == offsets[bins == b][order]).all()
 
 
+def plain_fit(lengths, caps, score, weights):
+    """Piece after piece, longest first: into the feasible bin that scores best, the oldest of equal ones, else into a new one. With the dot product a bin that was
+    chosen for a length keeps taking pieces of that length."""
+    bins, last = [], None
+    for n in sorted(lengths, reverse=True):
+        need = np.array([n, 1, n * n])
+        fits = [i for i, left in enumerate(bins) if (left >= need).all()]
+        room = lambda i: bins[i] / caps  # noqa: E731, B023
+        if score == "dot" and last is not None and last[0] == n and last[1] in fits:
+            pick = last[1]
+        elif fits:
+            by = {i: (weights * (room(i) - need / caps) ** 2).sum() if score == "norm" else -(weights * (need / caps) * room(i)).sum() for i in fits}
+            pick = min(fits, key=lambda i: (round(by[i], 12), i))  # noqa: B023
+        else:
+            bins.append(np.array(caps, np.int64))
+            pick = len(bins) - 1
+        bins[pick] = bins[pick] - need
+        last = (n, pick)
+    return sorted(tuple(b.tolist()) for b in bins)
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_op2_bins_are_those_of_a_plain_search(score):
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        lengths = rng.integers(1, 101, int(rng.integers(1, 120)))
+        caps = np.array([100, int(rng.integers(2, 8)), int(rng.integers(10_000, 12_000))])
+        bins, _ = packing.best_fit(lengths, *caps.tolist(), score)
+        got = sorted((caps - np.array([lengths[bins == b].sum(), (bins == b).sum(), (lengths[bins == b] ** 2).sum()])).tolist() for b in np.unique(bins))
+        assert [tuple(g) for g in got] == plain_fit(lengths.tolist(), caps, score, np.array([1.0, 0.05, 0.05]))
+
+
+def test_op2_two_runs_give_the_same_sequences(spark, docs, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 60)
+    groups = []
+    for _ in range(2):
+        rows = packing.pack(docs, BYTE).toPandas()
+        groups.append(sorted(tuple(sorted(zip(g["doc_id"], g["piece"], g["offset"], strict=True))) for _, g in rows.groupby("sequence_id")))
+    assert groups[0] == groups[1] and len(groups[0]) > 10
+
+
 @pytest.mark.parametrize("source", ["docs", "edge"])
 def test_op7_round_trip(request, source):
     frame, library = request.getfixturevalue(source), _piece()
@@ -128,6 +169,46 @@ def test_op10_files_in_order(spark, request, source, tmp_path):
     assert keys == sorted(keys) and ordered[0]["start"] == 0
 
 
+def test_op10_one_key_over_many_shards(spark, tmp_path):
+    """Most rows have one doc_id, or none: they fill several shards, copies are numbered through, and each is found again."""
+    rows = [(7 if i % 10 else None, f"text {i}") for i in range(300)] + [(9, "end"), (-(1 << 63), "least")]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        store = token_store.TokenStore.write(spark.createDataFrame(rows, "doc_id bigint, text string"), f"file://{tmp_path}/hot", WORD)
+        got = store.read(store.places.select("doc_id", "copy")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(store.manifest["names"]) > 3 and len(got) == len(rows)
+    library = Tokenizer.from_file(WORD)
+    want = sorted((str(k), np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for k, t in rows)
+    assert sorted((str(r["doc_id"]), bytes(r["ids"])) for r in got) == want
+    assert sorted(r["copy"] for r in got if r["doc_id"] == 7) == list(range(270))
+
+
+def test_op10_leftovers_of_other_attempts_are_not_read(spark, docs, tmp_path):
+    store = token_store.TokenStore.write(docs, f"file://{tmp_path}/t", WORD)
+    for p in list((tmp_path / "t/shards").glob("*.ids")):
+        (p.parent / f"{p.name.split('-')[0]}-dead.ids").write_bytes(b"\0" * 100)
+    got = token_store.TokenStore.open(spark, store.folder).read(store.places.select("doc_id", "copy"))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+
+
+def test_op10_schemes():
+    assert token_store.arrow_uri("s3a://bucket/a b") == "s3://bucket/a b" and token_store.arrow_uri("hdfs://n:8020/x") == "hdfs://n:8020/x" and token_store.arrow_uri("/x") == "/x"
+
+
+def test_op10_index_finds_what_the_hash_finds(tmp_path):
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    n = np.arange(len(keys))
+    token_store.put(f"file://{tmp_path}/i.mph", token_store.dump_index(keys, n % 7, n * 3, n))
+    index = token_store.Index(f"file://{tmp_path}/i.mph")
+    found, there = index.find(keys)
+    assert there.all() and (found["first"] == n * 3).all() and np.array_equal(np.sort(index.places(keys)), n)
+    assert index.find(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) | np.uint64(1 << 63))[1].sum() <= 1
+
+
 def test_op10_empty(spark, nothing, tmp_path):
     store = token_store.TokenStore.write(nothing, f"file://{tmp_path}/none", WORD)
     assert store.manifest["documents"] == 0 and store.read(store.places.select("doc_id", "copy")).collect() == []
