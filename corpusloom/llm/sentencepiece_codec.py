@@ -4,7 +4,8 @@ Where no piece holds the white-space mark after another character, no piece cros
 then cut before each run of marks; each distinct chunk is segmented once for the table of its worker, and ids are joined back by
 position. Models with other pieces or another normalizer are run on whole texts.
 
-Defined results: a null or empty text has the begin and end ids alone; an empty table gives no rows; other columns are not read.
+Defined results: a null or empty text has the begin and end ids alone; repeated rows and ids come out as often as they occur, each with
+its own text's ids; whole texts are encoded, however long, in blocks of rows; an empty table gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
