@@ -55,6 +55,7 @@ def main(argv: list[str] | None = None) -> int:
         M.write_lines(os.path.join(report_dir, "urls.txt"), (r["url"] for r in kept.select("url").orderBy("url").toLocalIterator()))
         if config.dry_run:
             LOG.info("%d URLs by %s", kept.count(), source)
+            pipeline.schedule(kept, config, robots).orderBy("start", "url").write.mode("overwrite").json(os.path.join(report_dir, "schedule"))
             for r in DI.llms_full(payloads, config.base_url).collect():
                 LOG.info("llms-full.txt at %s isn't used for pages", r["url"])
             return 0

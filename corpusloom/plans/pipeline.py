@@ -15,6 +15,7 @@ from ..functions import content as C
 from ..functions import urls as U
 from ..functions.html import page_parts
 from ..operators import fetch as D
+from ..operators import pacing as PA
 from ..operators import robots as R
 from ..operators import urls as O
 from ..schema import MANIFEST_SCHEMA, MANIFEST_VERSION
@@ -97,6 +98,16 @@ def run(urls: DataFrame, responses: DataFrame, config: RunConfig, source: str =
     return Run(manifest, bodies, html, taken, kept.select("url"), scheduled.select("url"))
 
 
+def schedule(urls: DataFrame, config: RunConfig, robots_txt: str | None = None) -> DataFrame:
+    """url, start: the second at which each URL may be asked for, in the order of the URLs, under the configured rates and the crawl delay of robots.txt."""
+    group = None if config.ignore_robots or not robots_txt else R.group_for(R.parse_robots(robots_txt), config.user_agent)
+    delay = group["delay"] if group else None
+    rows = urls.select("url", U.part(F.col("url"), U.NETLOC).alias("host"), F.lit(0.0).alias("at"), F.col("url").alias("ord"))
+    by_host = PA.host_paced(rows, PA.interval_of(R.delayed_rate(config.host_rate_limit_per_sec, delay)))
+    by_all = PA.paced(by_host.select("url", F.col("start").alias("at"), "ord"), PA.interval_of(R.delayed_rate(config.rate_limit_per_sec, delay)))
+    return by_all.select("url", "start")
+
+
 def with_snapshots(fetched: DataFrame, config: RunConfig, run_id: str) -> DataFrame:
     """Adds error_snapshot: the path of a row's snapshot, null where there is nothing to save, none is asked for, or the quota is used up. With a quota snapshots are
     admitted in the order of a hash of their URLs."""

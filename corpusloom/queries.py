@@ -17,6 +17,7 @@ from .functions import content as C
 from .functions import urls as U
 from .functions.html import page_parts
 from .operators import fetch as D
+from .operators import pacing as PA
 from .operators import robots as R
 from .operators import urls as O
 from .plans import crawl as CR
@@ -507,6 +508,43 @@ def python_pattern(spark, sf_dir):
     return rows.select("page_id", O.found_in(F.col("url"), r"(?P<https>https)?://(?(https)www|m)\.").alias("conditional"), O.found_in(F.col("url"), r"/(?P<n>\d)\d*(?P=n)").alias("named"))
 
 
+# -- Pacing ------------------------------------------------------------------------------------------------------------------------------
+
+_READY = "r AS (SELECT page_id, netloc AS host, (page_id * 7 % 64) / 32.0::DOUBLE AS at_, (page_id % 5) / 4.0::DOUBLE AS seconds FROM parts)"
+
+
+def ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each page, ready at some time within two seconds."""
+    at = (F.col("page_id") * 7 % 64) / F.lit(32.0)
+    return pages(spark, sf_dir).select("page_id", U.part(F.col("url"), U.NETLOC).alias("host"), at.alias("at"), F.col("page_id").alias("ord"), ((F.col("page_id") % 5) / F.lit(4.0)).alias("seconds"))
+
+
+@query(f", {_READY}, n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY at_, page_id) * 0.5 AS shift FROM r) SELECT page_id, max(at_ - shift) OVER (PARTITION BY host ORDER BY at_, page_id) + shift AS start FROM n")
+def host_pacing(spark, sf_dir):
+    return PA.host_paced(ready(spark, sf_dir), PA.interval_of(2.0)).select("page_id", "start")
+
+
+@query(f", {_READY}, n AS (SELECT *, row_number() OVER (ORDER BY at_, page_id) * 0.125 AS shift FROM r) SELECT page_id, max(at_ - shift) OVER (ORDER BY at_, page_id) + shift AS start FROM n")
+def global_pacing(spark, sf_dir):
+    """At eight a second, or one a second by the robots' crawl delay if that is less: here it isn't given."""
+    return PA.paced(ready(spark, sf_dir), PA.interval_of(R.delayed_rate(8.0, None))).select("page_id", "start")
+
+
+@query(f""", {_READY}, n AS (SELECT *, (row_number() OVER (PARTITION BY host ORDER BY at_, page_id) - 1) % 3 AS lane FROM r), b AS (SELECT *, sum(seconds) OVER (PARTITION BY host, lane ORDER BY at_, page_id) - seconds AS before FROM n)
+SELECT page_id, max(at_ - before) OVER (PARTITION BY host, lane ORDER BY at_, page_id) + before AS start FROM b""")
+def host_concurrency(spark, sf_dir):
+    return PA.at_once(ready(spark, sf_dir), 3).select("page_id", "start")
+
+
+@query(""", s AS (SELECT canonical AS url, row_number() OVER (PARTITION BY netloc ORDER BY canonical) * 2.0::DOUBLE AS shift, netloc FROM (SELECT DISTINCT regexp_extract(canonical, '://([^/?#]*)', 1) AS netloc, canonical FROM norm)),
+h AS (SELECT url, max(0.0 - shift) OVER (PARTITION BY netloc ORDER BY url) + shift AS at_ FROM s), n AS (SELECT *, row_number() OVER (ORDER BY at_, url) * 2.0::DOUBLE AS shift FROM h)
+SELECT url, max(at_ - shift) OVER (ORDER BY at_, url) + shift AS start FROM n""")
+def capture_schedule(spark, sf_dir):
+    """When each canonical URL may be asked for, under a rate of five a second, one a second for each host, and a crawl delay of two seconds."""
+    config = RunConfig(rate_limit_per_sec=5.0, host_rate_limit_per_sec=1.0)
+    return P.schedule(canonical(spark, sf_dir), config, "User-agent: *\nCrawl-delay: 2\nDisallow: /none")
+
+
 # -- Whole runs: the queries above that share RUN, without its page limit ------------------------------------------------------------------
 
 WHOLE = dataclasses.replace(RUN, max_pages=0)

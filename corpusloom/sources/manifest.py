@@ -6,7 +6,7 @@ import html
 import json
 import os
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -43,12 +43,12 @@ def index(manifest: DataFrame, by_url: bool = False) -> DataFrame:
     return manifest.select(*INDEX_COLUMNS).orderBy("url") if by_url else manifest.select(*INDEX_COLUMNS)
 
 
-def save_atomically(path: str, text: str) -> None:
+def save_atomically(path: str, text: str | Iterable[str]) -> None:
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     handle, temporary = tempfile.mkstemp(dir=os.path.dirname(path) or ".")
     try:
         with os.fdopen(handle, "w", encoding="utf-8") as f:
-            f.write(text)
+            f.writelines([text] if isinstance(text, str) else text)
         os.replace(temporary, path)
     except BaseException:
         os.unlink(temporary)
@@ -80,13 +80,17 @@ def write_report_json(path: str, report: dict) -> None:
 
 
 def write_lines(path: str, lines: Iterable[str]) -> None:
-    save_atomically(path, "".join(f"{line}\n" for line in lines))
+    save_atomically(path, (f"{line}\n" for line in lines))
 
 
-def report_html(summary: dict[str, list[Row]], failures: Iterable[Row], title: str = "Corpus report") -> str:
-    """A page of bar charts (dimension -> rows of key, count, px) and the table of all pages that aren't ok; everything is escaped."""
+def report_html(summary: dict[str, list[Row]], failures: Iterable[Row], title: str = "Corpus report") -> Iterator[str]:
+    """A page of bar charts (dimension -> rows of key, count, px) and the table of all pages that aren't ok, in pieces; everything is escaped."""
     esc = lambda v: html.escape("" if v is None else str(v), quote=True)
-    charts = "".join(f"<h2>{esc(d)}</h2>" + "".join(f'<div>{esc(r["key"])} <span style="display:inline-block;background:#58a;height:1em;width:{int(r["px"])}px"></span> {r["count"]}</div>' for r in rows) for d, rows in summary.items())
+    yield f"<!doctype html><meta charset=utf-8><title>{esc(title)}</title><h1>{esc(title)}</h1>"
+    for d, rows in summary.items():
+        yield f"<h2>{esc(d)}</h2>" + "".join(f'<div>{esc(r["key"])} <span style="display:inline-block;background:#58a;height:1em;width:{int(r["px"])}px"></span> {r["count"]}</div>' for r in rows)
     columns = ["url", "status", "http_status", "note", "error_kind", "error"]
-    table = "".join("<tr>" + "".join(f"<td>{esc(r[c])}</td>" for c in columns) + "</tr>" for r in failures)
-    return f"<!doctype html><meta charset=utf-8><title>{esc(title)}</title><h1>{esc(title)}</h1>{charts}<h2>failures</h2><table><tr>{''.join(f'<th>{c}</th>' for c in columns)}</tr>{table}</table>"
+    yield f"<h2>failures</h2><table><tr>{''.join(f'<th>{c}</th>' for c in columns)}</tr>"
+    for r in failures:
+        yield "<tr>" + "".join(f"<td>{esc(r[c])}</td>" for c in columns) + "</tr>"
+    yield "</table>"

@@ -264,6 +264,32 @@ def test_patterns_of_both_dialects(spark):
         assert [r["x"] for r in rows.select(F.coalesce(O.found_in(F.col("url"), pattern), F.lit(False)).alias("x")).collect()] == [True, False, False]
 
 
+def test_pacing_like_a_limiter(spark):
+    """Against limiters run one request after another."""
+    from corpusloom.operators import pacing as PA
+
+    rows = [(i, "ab"[i % 3 == 0], float((i * 13) % 17), i, float(1 + i % 4)) for i in range(60)]
+    frame = spark.createDataFrame(rows, "id int, host string, at double, ord int, seconds double")
+    order = sorted(rows, key=lambda r: (r[2], r[3]))
+    starts = lambda df: {r["id"]: r["start"] for r in df.collect()}
+
+    def limiter(key, interval):
+        free, out = {}, {}
+        for r in order:
+            out[r[0]] = max(r[2], free.get(key(r), float("-inf")))
+            free[key(r)] = out[r[0]] + interval
+        return out
+
+    assert starts(PA.paced(frame, 0.75)) == limiter(lambda r: 0, 0.75) and starts(PA.host_paced(frame, 1.5)) == limiter(lambda r: r[1], 1.5)
+    busy, want = {}, {}
+    for r in order:
+        lane = (r[1], sum(1 for o in order[: order.index(r)] if o[1] == r[1]) % 2)
+        want[r[0]] = max(r[2], busy.get(lane, 0.0))
+        busy[lane] = want[r[0]] + r[4]
+    assert starts(PA.at_once(frame, 2)) == want
+    assert starts(PA.paced(frame, 0.0)) == {r[0]: r[2] for r in rows} and PA.paced(frame.limit(0), 1.0).collect() == []
+
+
 def test_sitemaps_of_any_depth(spark):
     ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
     rows = [(f"https://e.com/{name}", "text/xml", body.encode()) for name, body in [("sitemap.xml", f"<sitemapindex {ns}><sitemap><loc>/s1.xml</loc></sitemap><sitemap><loc>/sitemap.xml</loc></sitemap></sitemapindex>"), *[(f"s{i}.xml", f"<sitemapindex {ns}><sitemap><loc>/s{i + 1}.xml</loc></sitemap></sitemapindex>") for i in range(1, 6)], ("s6.xml", f"<urlset {ns}><url><loc>/deep</loc></url></urlset>")]]
