@@ -18,55 +18,64 @@ DEFAULT_EXCLUDE_EXTS = (".css", ".gif", ".gz", ".ico", ".jpeg", ".jpg", ".js", "
 
 @dataclass(frozen=True)
 class RunConfig:
+    """Names and defaults are those that profiles and options use."""
+
+    # Where from, where to
     base_url: str = ""
     output_dir: str = "out"
-    max_workers: int = 8
-    request_timeout: int = 20
-    rate_limit_per_sec: float = 5.0
-    host_rate_limit_per_sec: float = 0.0
-    host_max_concurrency: int = 0
-    user_agent: str = "Mozilla/5.0 (corpusloom/0.1)"
-    retry_total: int = 4
-    retry_timeout: int = 2
-    retry_connection: int = 2
-    retry_dns: int = 1
-    retry_http_429: int = 3
-    retry_http_5xx: int = 2
-    retry_unknown: int = 0
-    retry_backoff_base: float = 0.5
-    retry_backoff_max: float = 8.0
-    retry_backoff_jitter: float = 0.3
-    max_pages: int = 5000
-    max_depth: int = 6
-    scope_prefix: str | None = None
+    report_dir: str | None = None
     site_root: str | None = None
-    frontmatter: bool = False
-    frontmatter_timestamp: bool = True
-    html_fallback: bool = True
+    # Which URLs (plans/pipeline.plan_urls, plans/crawl)
+    scope_prefix: str | None = None
     exclude_exts: tuple[str, ...] = DEFAULT_EXCLUDE_EXTS
     include_regex: str | None = None
     exclude_regex: str | None = None
     ignore_query_params: tuple[str, ...] = ()
     ignore_query_prefixes: tuple[str, ...] = ("utm_",)
+    ignore_robots: bool = False
+    max_pages: int = 5000
+    max_depth: int = 6
+    # How pages are decided and written (operators/fetch, plans/pipeline.run)
+    max_body_bytes: int = 0
+    html_fallback: bool = True
     content_extractor: str = "auto"
+    frontmatter: bool = False
+    frontmatter_timestamp: bool = True
     save_html: bool = False
     save_error_html: bool = True
-    ignore_robots: bool = False
-    headers: Mapping[str, str] = field(default_factory=dict)
-    cookies: Mapping[str, str] = field(default_factory=dict)
-    auth: tuple[str, str] | None = None
-    token: str | None = None
-    report_dir: str | None = None
-    manifest_sorted: bool = False
     error_snapshot_max_bytes: int = 200_000
     error_snapshot_sample_ratio: float = 0.7
     error_snapshot_max_files: int = 0
     error_snapshot_max_total_bytes: int = 0
-    max_body_bytes: int = 0
+    # Earlier runs, and the ledger
     resume: bool = False
     skip_existing: bool = False
     dry_run: bool = False
+    manifest_sorted: bool = False
     manifest_cache_max_entries: int = 0
+    # Which attempt counts (operators/fetch.final_attempts, backoff)
+    retry_total: int = 4
+    retry_timeout: int = 2
+    retry_connection: int = 2
+    retry_dns: int = 1
+    retry_http_429: int = 3
+    retry_http_5xx: int = 2
+    retry_unknown: int = 0
+    retry_backoff_base: float = 0.5
+    retry_backoff_max: float = 8.0
+    retry_backoff_jitter: float = 0.3
+    # When requests may go out (plans/pipeline.schedule, operators/pacing), and for whom robots.txt speaks
+    rate_limit_per_sec: float = 5.0
+    host_rate_limit_per_sec: float = 0.0
+    host_max_concurrency: int = 0
+    user_agent: str = "Mozilla/5.0 (corpusloom/0.1)"
+    # For whoever captures: no plan reads these
+    max_workers: int = 8
+    request_timeout: int = 20
+    headers: Mapping[str, str] = field(default_factory=dict)
+    cookies: Mapping[str, str] = field(default_factory=dict)
+    auth: tuple[str, str] | None = None
+    token: str | None = None
 
     @property
     def retry_limits(self) -> dict[str, int]:

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 LINE_ENDS = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
 
 
+# Fixed value: what stands for the bytes left out of a snapshot.
+TRUNCATED = b"\n...[truncated]...\n"
+
+
 def content_type_name(content_type: Column) -> Column:
     """Media type without parameters in lower case; 'unknown' for none."""
     name = F.lower(F.trim(F.substring_index(content_type, ";", 1)))
@@ -58,7 +62,7 @@ def truncated(body: Column, most: int, head_ratio: float = 0.7) -> Column:
     """At most so many bytes: the head and tail around a marker; code points cut in two are dropped."""
     if most <= 0:
         return body
-    marker, raw = b"\n...[truncated]...\n", body.cast("binary")
+    marker, raw = TRUNCATED, body.cast("binary")
     ratio = head_ratio if 0.1 <= head_ratio <= 0.9 else 0.7
     if most <= len(marker):
         return F.when(F.octet_length(body) <= most, body).otherwise(_head(raw, most))

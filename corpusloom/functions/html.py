@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -233,3 +233,18 @@ def page_parts(html: Column, extractor: str = "auto", markdown: bool = True) ->
         return pd.DataFrame(rows, columns=["title", "h1", "links", "markdown", "extractor"])
 
     return of(html)
+
+
+def register(spark: SparkSession) -> None:
+    """Names for SQL: html_to_md(html), Markdown of the main container, and extract_links(html), hrefs in order."""
+
+    @F.pandas_udf("string")
+    def html_to_md(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda page: convert(parse(page or ""), "raw")[0])
+
+    @F.pandas_udf("array<string>")
+    def extract_links(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda page: links_of(parse(page or "")))
+
+    spark.udf.register("html_to_md", html_to_md)
+    spark.udf.register("extract_links", extract_links)

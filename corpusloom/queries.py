@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .config import RunConfig
 from .functions import content as C
 from .functions import urls as U
-from .functions.html import page_parts
+from .functions.html import page_parts, register
 from .operators import fetch as D
 from .operators import pacing as PA
 from .operators import robots as R
@@ -289,12 +289,21 @@ def link_domain_counts(spark, sf_dir):
     return each.groupBy("host").agg(F.sum("n").alias("links"), F.count(F.lit(1)).alias("targets"))
 
 
-@query()
+@query("""SELECT doc_id, t AS text, strlen(t) AS bytes FROM (SELECT doc_id, CASE WHEN octet_length(b) <= 500 THEN text ELSE coalesce(try(decode(b[1:336])), try(decode(b[1:335])), try(decode(b[1:334])), try(decode(b[1:333])), '') || chr(10) || '...[truncated]...' || chr(10) ||
+coalesce(try(decode(b[octet_length(b) - 144:])), try(decode(b[octet_length(b) - 143:])), try(decode(b[octet_length(b) - 142:])), try(decode(b[octet_length(b) - 141:])), '') END AS t FROM (SELECT doc_id, text, encode(text) AS b FROM documents))""")
 def truncate_content(spark, sf_dir):
     short = C.truncated(F.col("text"), 500, 0.7)
     return documents(spark, sf_dir).select("doc_id", short.alias("text"), F.octet_length(short).alias("bytes"))
 
 
+@query("SELECT page_id, len(regexp_extract_all(html, '<a href=\"')) AS links, true AS titled FROM pages")
+def named_functions(spark, sf_dir):
+    """The named SQL functions over all pages."""
+    register(spark)
+    pages(spark, sf_dir).createOrReplaceTempView("captured_pages")
+    return spark.sql("SELECT page_id, size(extract_links(html)) AS links, html_to_md(html) LIKE '#%' OR html_to_md(html) LIKE '%\n# %' AS titled FROM captured_pages")
+
+
 @query()
 def html_to_markdown(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", page_parts(F.col("html"), "auto").alias("p")).select("page_id", "p.markdown", "p.extractor")
@@ -352,7 +361,10 @@ def snapshot_name(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", C.snapshot_name(U.normalize_url(F.col("url"), (), ("utm_",)), "html_http", "0123456789ab").alias("name"))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT row_number() OVER (ORDER BY page_id) AS n, page_id, strlen(html)::BIGINT AS size FROM pages),
+f(n, used, files, fits) AS (SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, false UNION ALL SELECT s.n, f.used + CASE WHEN f.files < 50 AND f.used + s.size <= 60000 THEN s.size ELSE 0 END, f.files + CASE WHEN f.files < 50 AND f.used + s.size <= 60000 THEN 1 ELSE 0 END,
+  f.files < 50 AND f.used + s.size <= 60000 FROM f JOIN s ON s.n = f.n + 1)
+SELECT 'r' AS run_id, page_id AS ord, size FROM f JOIN s USING (n) WHERE fits""")
 def snapshot_quota(spark, sf_dir):
     rows = pages(spark, sf_dir).select(F.lit("r").alias("run_id"), F.col("page_id").alias("ord"), F.octet_length("html").cast("bigint").alias("size"))
     return O.snapshot_quota(rows, most_files=50, most_bytes=60_000)

@@ -20,7 +20,7 @@ from ..functions import urls as U
 from ..operators.urls import same_origin_as
 from ..shared import new_folder, written
 
-# Targets of inline Markdown links, and URLs that stand by themselves in what is left of a line.
+# Targets of inline Markdown links, and URLs that stand by themselves in what is left of a line. The characters that end a URL.
 TARGET = r"\]\((https?://[^\s)]+)\)"
 BARE = r"https?://[^\s)\]]+"
 # Where sitemaps and search indexes are looked for, in this order.

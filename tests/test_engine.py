@@ -264,6 +264,18 @@ def test_patterns_of_both_dialects(spark):
         assert [r["x"] for r in rows.select(F.coalesce(O.found_in(F.col("url"), pattern), F.lit(False)).alias("x")).collect()] == [True, False, False]
 
 
+def test_every_setting_is_read():
+    """But for those of whoever captures, each setting is read by some plan or operator."""
+    import dataclasses
+    import pathlib
+
+    for_capture = {"max_workers", "request_timeout", "headers", "cookies", "auth", "token", "host_max_concurrency"}
+    root = pathlib.Path(cfg.__file__).parent
+    text = "".join(p.read_text() for p in root.rglob("*.py") if "llm" not in p.parts and p.name != "queries.py")
+    missing = [f.name for f in dataclasses.fields(cfg.RunConfig) if f"config.{f.name}" not in text and f"self.{f.name}" not in text]
+    assert set(missing) <= for_capture | {"retry_total", "retry_backoff_base", "retry_backoff_max", "retry_backoff_jitter"}, missing
+
+
 def test_pacing_like_a_limiter(spark):
     """Against limiters run one request after another."""
     from corpusloom.operators import pacing as PA
