@@ -48,7 +48,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     uri = new_folder(spark, name)
     df.write.parquet(uri)
-    return spark.read.schema(df.schema).parquet(uri)
+    table = spark.read.schema(df.schema).parquet(uri)
+    table.corpusloom_folder = uri
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove the folders of written tables that nothing reads any more."""
+    for table in tables:
+        uri = getattr(table, "corpusloom_folder", None)
+        if uri:
+            _remove(table.sparkSession, uri)
 
 
 def fresh(name: str, taken: Sequence[str]) -> str:

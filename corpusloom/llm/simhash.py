@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scanned, small_or_not, text_of, with_locator, without_rows, written
+from .common import drop, scanned, small_or_not, text_of, with_locator, without_rows, written
 from .components import components
 from .gray_index import Forest, GrayIndex, gray_rank
 
@@ -310,7 +310,9 @@ def confirmed(distinct: DataFrame, links: DataFrame, located: DataFrame, bits: i
     keyed = members.select("key", "fp", "n").unionByName(by_shingles(short, similarity).join(where.select("fp", "n"), "fp").select("key", "fp", "n"))
     dealt = dealt_again(dealt_by_length(keyed, similarity, MOST_IN_GROUP), MOST_IN_GROUP)
     rows = dealt.select("key", "fp").join(short.unionByName(long), "fp").select("key", "fp", "shingles")
-    return components(by_key(rows).mapInArrow(_confirm(similarity, bits // 8), "a binary, b binary"))
+    roots = components(by_key(rows).mapInArrow(_confirm(similarity, bits // 8), "a binary, b binary"))
+    drop(members, short, long)
+    return roots
 
 
 def near_components(rows: DataFrame, words: int = 3, bits: int = 64, radius: int = 3, similarity: float | None = None) -> DataFrame:

@@ -48,13 +48,15 @@ def ordinals(calls: DataFrame, most_rounds: int = 40) -> DataFrame:
 
     calls: call_id (unique), after: the call before it, or an array of such. Calls with one predecessor jump, by pointer doubling, to the
     nearest call before them that has none or several; those with several are then ordered in rounds (Kahn), as many as the longest chain of such calls."""
-    several = isinstance(calls.schema["after"].dataType, T.ArrayType)
-    each = calls.select("call_id", F.explode(F.col("after") if several else F.array("after")).alias("before")).where("before is not null").distinct()
-    links = written(each.join(calls.select(F.col("call_id").alias("before")), "before"), "links")
-    counted = links.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.min("before").alias("one"))
-    start = calls.select("call_id").join(counted, "call_id", "left").withColumn("single", F.coalesce(F.col("n") == 1, F.lit(False)))
-    now = start.select("call_id", F.when(F.col("single"), F.col("one")).otherwise(F.col("call_id")).alias("at"), F.col("single").cast("bigint").alias("steps"), (~F.col("single")).alias("done"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("many"))
-    now = written(now, "order")
+    several, known = isinstance(calls.schema["after"].dataType, T.ArrayType), calls.select(F.col("call_id").alias("before"))
+    if several:
+        links = written(calls.select("call_id", F.explode("after").alias("before")).distinct().join(known, "before"), "links")
+        counted = links.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.min("before").alias("one"))
+        start = calls.select("call_id").join(counted, "call_id", "left").select("call_id", F.when(F.col("n") == 1, F.col("one")).alias("one"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("many"))
+    else:
+        start = calls.join(known, calls.after == known.before, "left").select("call_id", F.col("before").alias("one"), F.lit(False).alias("many"))
+    single = F.col("one").isNotNull()
+    now = written(start.select("call_id", F.coalesce("one", "call_id").alias("at"), single.cast("bigint").alias("steps"), (~single).alias("done"), "many"), "order")
     for _ in range(most_rounds):
         if now.where("not done").isEmpty():
             break
@@ -62,6 +64,8 @@ def ordinals(calls: DataFrame, most_rounds: int = 40) -> DataFrame:
         moved = now.where("not done").join(ahead, F.col("at") == F.col("there")).select("call_id", F.col("next").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("done"), "many")
         now = written(now.where("done").unionByName(moved), "order")
     placed = now.where("done").select("call_id", "at", "steps")
+    if not several:  # every chain that ends hangs on a call without a predecessor
+        return now.select("call_id", F.when(F.col("done"), F.col("steps")).alias("ordinal"))
     levels = written(now.where("done and steps = 0 and not many").select(F.col("call_id").alias("at"), F.lit(0).cast("bigint").alias("level")), "levels")
     waiting = now.where("many").select("call_id")
     if not waiting.isEmpty():
