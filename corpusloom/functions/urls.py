@@ -157,7 +157,7 @@ def relative_path_from(url: Column, base_url: str, slug: str | None, ignore: Seq
     own = sanitize_segment(F.lit(slug)) if slug else F.lit("index")
 
     def of(path: Column) -> Column:
-        rest = let(_joined(F.substring(path, len(base) + 1, 1 << 20)), lambda r: F.when(r == "", own).otherwise(r))
+        rest = let(_joined(F.substring(path, len(base) + 1, 2147483647)), lambda r: F.when(r == "", own).otherwise(r))
         return F.when((path == base) | path.startswith(base + "/"), F.concat(rest, query_suffix(url, ignore, ignore_prefixes))).otherwise(relative_path(url))
 
     return let(F.concat(F.lit("/"), F.regexp_replace(part(url, PATH), "^/+|/+$", "")), of)
