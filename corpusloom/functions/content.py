@@ -25,7 +25,7 @@ def is_textual(content_type: Column) -> Column:
 
 
 def is_probable_html(content_type: Column, body: Column) -> Column:
-    head = F.lower(F.substring(F.regexp_replace(F.coalesce(body, F.lit("")), r"^\s+", ""), 1, 200))
+    head = F.lower(F.substring(F.regexp_replace(F.coalesce(body, F.lit("")), r"(?U)^[\s\x1C-\x1F]+", ""), 1, 200))
     return F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("text/html")) | head.startswith("<!doctype") | head.startswith("<html")
 
 

@@ -320,5 +320,5 @@ def test_html_after_much_white_space(spark):
 
     from corpusloom.functions.content import is_probable_html
 
-    rows = spark.createDataFrame([(" " * 395 + "\n" * 200 + "<!DOCTYPE html><html>",), (" " * 500 + "text",)], "body string")
-    assert [r[0] for r in rows.select(is_probable_html(F.lit("text/plain"), F.col("body"))).collect()] == [True, False]
+    rows = spark.createDataFrame([(" " * 395 + "\n" * 200 + "<!DOCTYPE html><html>",), (" " * 500 + "text",), ("\u2003\u00a0\x1c<HTML lang=x>",)], "body string")
+    assert [r[0] for r in rows.select(is_probable_html(F.lit("text/plain"), F.col("body"))).collect()] == [True, False, True]
