@@ -24,7 +24,10 @@ def resolve(base: Column, href: Column) -> Column:
     authority are relative, and what climbs above the root stays there."""
     clean = F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
     parts = lambda url: F.struct(*[U.part(url, k).alias(n) for n, k in (("scheme", U.SCHEME), ("netloc", U.NETLOC), ("path", U.PATH), ("query", U.QUERY), ("fragment", U.FRAGMENT))], U.params(url).alias("params"))
-    return U.let(parts(base), lambda b: U.let(clean, lambda h: U.let(parts(h), lambda r: F.when(h == "", base).otherwise(_resolved(b, h, r)))))
+    plain = href.rlike(r"^/([^/?#;\x00-\x20][^?#;\t\r\n]*)?$") & ~href.contains("/.")  # a path with nothing to resolve: most links are
+    origin = F.concat(F.lower(U.part(base, U.SCHEME)), F.lit("://"), U.part(base, U.NETLOC))
+    whole = U.let(parts(base), lambda b: U.let(clean, lambda h: U.let(parts(h), lambda r: F.when(h == "", base).otherwise(_resolved(b, h, r)))))
+    return F.when(plain, F.concat(origin, href)).otherwise(whole)
 
 
 def _resolved(b: Column, href: Column, r: Column) -> Column:
