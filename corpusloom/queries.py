@@ -391,7 +391,8 @@ def bfs_frontier(spark, sf_dir):
     return edges.select("dst").distinct().join(canonical(spark, sf_dir).select(F.col("url").alias("dst")), "dst", "left_anti")
 
 
-@query()
+@query("""SELECT DISTINCT dst FROM (SELECT lower(scheme) || '://' || lower(netloc) || CASE WHEN href = '/' THEN '/' ELSE regexp_replace(href, '/+$', '') END AS dst
+FROM norm JOIN (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) USING (page_id)) WHERE dst NOT IN (SELECT url FROM canon)""")
 def bfs_next_level(spark, sf_dir):
     """What one level from all pages adds to the frontier: targets of their links that are no page."""
     edges = CR.edges(pages(spark, sf_dir).select("url", "html"), CONFIG)
