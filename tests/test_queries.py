@@ -66,3 +66,17 @@ def test_next_level_is_of_all_pages(spark, sf_dir):
     print(len(one), len(got), len(plain))
     assert one <= got and len(got) > len(one) and not got & known
     assert plain - known <= got
+
+
+@pytest.mark.parametrize("name", ["failures_table_whole", "index_view_whole", "ok_urls_whole", "title_h1", "links", "named_functions"])
+def test_pages_are_parsed_once_in_small_batches(spark, sf_dir, name):
+    """One evaluation, though filters on its results follow, and none by Arrow: its batches are 10,000 rows, however long the pages are."""
+    plan = q.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchEvalPython") == 1 and "ArrowEvalPython" not in plan
+
+
+def test_the_ledger_of_a_run_parses_pages_once(spark, sf_dir):
+    from corpusloom.schema import valid_row
+
+    plan = q.manifest(spark, sf_dir, q.WHOLE).where(valid_row())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1
