@@ -53,11 +53,16 @@ def _resolved(b: Column, href: Column, r: Column) -> Column:
 def edges(pages: DataFrame, config: RunConfig) -> DataFrame:
     """src, pos, dst of every link that passes the filters. pages: url, html. Extensions are tested before normalizing, patterns after."""
     hrefs = pages.select(F.col("url").alias("src"), F.posexplode(page_parts(F.col("html"), markdown=False)["links"]).alias("pos", "href"))
-    absolute = hrefs.select("src", "pos", resolve(F.col("src"), F.col("href")).alias("raw")).where(~U.has_extension(F.col("raw"), config.exclude_exts))
-    out = absolute.select("src", "pos", U.normalize_url(F.col("raw"), config.ignore_query_params, config.ignore_query_prefixes).alias("dst"))
+    absolute = _once(hrefs, resolve(F.col("src"), F.col("href")), "raw").where(~U.has_extension(F.col("raw"), config.exclude_exts))
+    out = _once(absolute, U.normalize_url(F.col("raw"), config.ignore_query_params, config.ignore_query_prefixes), "dst")
     return out.where(filter_note(F.col("dst"), config).isNull())
 
 
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """src, pos and the value, computed once a row: a plain column would be put in wherever the next steps name it, time and again within one another."""
+    return df.select("src", "pos", F.explode(F.array(value)).alias(name))
+
+
 def crawl(pages: DataFrame, config: RunConfig, folder: str, robots_txt: str | None = None, links: DataFrame | None = None) -> DataFrame:
     """url of every page that a crawl from base_url visits and accepts. pages: url (canonical), status, content_type, html.
 
@@ -70,9 +75,11 @@ def crawl(pages: DataFrame, config: RunConfig, folder: str, robots_txt: str | No
         fits = fits & (F.octet_length("html") <= config.max_body_bytes)
     good = pages.where(fits & filter_note(F.col("url"), config).isNull() & (R.allowed(F.col("url"), group["rules"]) if group else F.lit(True)))
     if links is None:
-        links = written(edges(good.select("url", "html"), config), f"{folder}/edges")
+        links = edges(good.select("url", "html"), config)
     in_scope = U.same_origin(F.col("dst"), U.normalize_url(F.lit(config.base_url))) & (F.lit(True) if scope == "/" else U.part(F.col("dst"), U.PATH).startswith(scope))
-    links = links.where(in_scope)
+    # What each level reads is tested once: the pages' URLs, and the links in scope.
+    links = written(links.where(in_scope), f"{folder}/edges")
+    good = written(good.select("url"), f"{folder}/good")
 
     seed = spark.range(1).select(U.normalize_url(F.lit(config.base_url), config.ignore_query_params, config.ignore_query_prefixes).alias("url"), F.lit(0).cast("bigint").alias("rank"))
     visited = written(seed, f"{folder}/level-0")
@@ -80,7 +87,7 @@ def crawl(pages: DataFrame, config: RunConfig, folder: str, robots_txt: str | No
     for depth in range(1, config.max_depth + 1):
         if count >= config.max_pages > 0:
             break
-        accepted = frontier.join(good.select("url"), "url", "left_semi")
+        accepted = frontier.join(good, "url", "left_semi")
         found = links.join(accepted, links.src == accepted.url).groupBy("dst").agg(F.min(F.struct("rank", "pos")).alias("at"))
         new = found.join(visited, found.dst == visited.url, "left_anti").select(F.col("dst").alias("url"), "at")
         ordered = new.orderBy("at.rank", "at.pos", "url")
@@ -92,4 +99,4 @@ def crawl(pages: DataFrame, config: RunConfig, folder: str, robots_txt: str | No
         if not more:
             break
         visited, count = visited.unionByName(frontier), count + more
-    return visited.join(good.select("url"), "url", "left_semi").select("url").distinct()
+    return visited.join(good, "url", "left_semi").select("url").distinct()

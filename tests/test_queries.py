@@ -80,3 +80,24 @@ def test_the_ledger_of_a_run_parses_pages_once(spark, sf_dir):
 
     plan = q.manifest(spark, sf_dir, q.WHOLE).where(valid_row())._jdf.queryExecution().executedPlan().toString()
     assert plan.count("EvalPython") == 1
+
+
+def test_links_are_resolved_once(spark, sf_dir):
+    """Each step's value is computed once: a plan that puts resolve() in wherever the canonical form names its URL has over a thousand of these."""
+    from corpusloom.plans import crawl as CR
+
+    plan = CR.edges(q.pages(spark, sf_dir).select("url", "html"), q.CONFIG)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("regexp_extract") < 150
+
+
+def test_levels_of_a_crawl_read_links_in_scope_alone(spark, tmp_path):
+    from corpusloom.config import RunConfig
+    from corpusloom.plans import crawl as CR
+
+    html = '<html><a href="/docs/b">b</a><a href="/other">o</a><a href="https://y.example/docs/c">c</a></html>'
+    made = spark.createDataFrame([(f"https://x.example/docs/{k}", 200, "text/html", html) for k in "ab"], "url string, status int, content_type string, html string")
+    for given in (None, CR.edges(made.select("url", "html"), RunConfig())):
+        folder = f"{tmp_path}/{given is None}"
+        got = CR.crawl(made, RunConfig(base_url="https://x.example/docs/a", max_pages=0), folder, links=given)
+        assert {r["url"] for r in got.collect()} == {"https://x.example/docs/a", "https://x.example/docs/b"}
+        assert {r["dst"] for r in spark.read.parquet(f"{folder}/*/edges").collect()} == {"https://x.example/docs/b"}
