@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom import queries as q
 
@@ -75,6 +76,21 @@ def test_pages_are_parsed_once_in_small_batches(spark, sf_dir, name):
     assert plan.count("BatchEvalPython") == 1 and "ArrowEvalPython" not in plan
 
 
+def test_a_worker_holds_few_pages(spark, monkeypatch):
+    """Its memory, told in place of each page's Markdown: 3,000 pages of 200 kB, 600 MB of them in one task, must not be held at once."""
+    from corpusloom.functions import html
+
+    def held(root, extractor):
+        pages = int(open("/proc/self/statm").read().split()[1])
+        return str(pages * 4096 // 1_000_000), extractor
+
+    monkeypatch.setattr(html, "convert", held)
+    made = spark.range(0, 3000, 1, 1).select(F.concat(F.lit("<p>"), "id", F.repeat(F.lit("x"), 200_000)).alias("html"))
+    mb = made.select(html.page_parts(F.col("html"))["markdown"].cast("int").alias("mb")).agg(F.count("mb"), F.max("mb")).first()
+    print(mb)
+    assert mb[0] == 3000 and mb[1] < 200
+
+
 def test_the_ledger_of_a_run_parses_pages_once(spark, sf_dir):
     from corpusloom.schema import valid_row
 
